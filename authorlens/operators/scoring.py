@@ -222,5 +222,5 @@ def sort_results(results: DataFrame, key: str = "ai_probability", descending: bo
 def attach_source(results: DataFrame, submissions: DataFrame) -> DataFrame:
     """Result rows with the file name and the code they came from."""
     file = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("file", "filename") if c in submissions.columns],
-                      F.col("id"))
+                      F.col("id").cast("string"))
     return results.join(submissions.select("id", file.alias("file"), "code"), "id", "left")
