@@ -114,14 +114,14 @@ def by_content(code: Column) -> Column:
     return best_language(content_scores(code))
 
 
-def resolve(code: Column, language: Column | None = None, filename: Column | None = None) -> Column:
-    """Given language, else extension, else content; later steps run only where needed."""
+def resolve(content: Column, language: Column | None = None, filename: Column | None = None) -> Column:
+    """Given language, else extension, else the one by content; later steps run only where needed."""
     steps = []
     if language is not None:
         steps.append(F.lower(language))
     if filename is not None:
         steps.append(by_extension(filename))
-    return F.coalesce(*steps, by_content(code))
+    return F.coalesce(*steps, content)
 
 
 def is_supported(language: Column) -> Column:

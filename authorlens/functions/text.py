@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The whitespace and word classes of Unicode-aware matching,
@@ -31,6 +32,20 @@ def regex(pattern: str) -> str:
             .replace(r"\s", f"[{WS}]").replace(r"\w", f"[{WORD}]").replace(r"\b", edge))
 
 
+_BUILT: dict = {}
+
+
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep a large expression over named columns: building it takes longer than planning it."""
+    def get(*names: str) -> Column:
+        key = (id(SparkContext._active_spark_context), make.__module__, make.__name__, names)
+        if key not in _BUILT:
+            _BUILT[key] = make(*[F.col(n) for n in names])
+        return _BUILT[key]
+
+    return get
+
+
 def unnest(df: DataFrame, keys: list, array: str, position: str | None = None) -> DataFrame:
     """One row per array element (structs become columns), empty arrays give no row.
 

@@ -9,6 +9,14 @@ from authorlens.functions import language as lang
 from authorlens.functions import naming, structure, style, text
 
 
+_lex = text.built_once(structure.lex)
+_roles = text.built_once(structure.role_map)
+_shape = text.built_once(structure.shape)
+_classified = text.built_once(structure.classified)
+_arguments = text.built_once(structure.argument_counts)
+_by_content = text.built_once(lang.by_content)
+
+
 def with_language(df: DataFrame) -> DataFrame:
     """Adds ``detected_language`` by the order given language, extension, content."""
     cols = df.columns
@@ -19,7 +27,7 @@ def with_language(df: DataFrame) -> DataFrame:
     elif "filename" in cols:
         name = F.col("filename")
     # a language is lower-cased here once, so every later rule sees the same spelling
-    return df.withColumn("detected_language", F.trim(lang.resolve(F.col("code"), given, name)))
+    return df.withColumn("detected_language", F.trim(lang.resolve(_by_content("code"), given, name)))
 
 
 def with_lines(df: DataFrame) -> DataFrame:
@@ -44,17 +52,16 @@ def style_features(df: DataFrame) -> DataFrame:
 
 def with_shape(df: DataFrame) -> DataFrame:
     """Adds the token array, the constructs and the names of each text."""
-    language = F.col("detected_language")
-    df = df.withColumns({"_tokens": structure.lex(F.col("code"), language), "_roles": structure.role_map(language)})
+    df = df.withColumns({"_tokens": _lex("code", "detected_language"), "_roles": _roles("detected_language")})
     df = df.withColumns({
-        "_shape": structure.shape(F.col("_tokens"), F.col("_roles"), language),
-        "_classified": structure.classified(F.col("_tokens")),
+        "_shape": _shape("_tokens", "_roles", "detected_language"),
+        "_classified": _classified("_tokens"),
     })
     return df.withColumns({
         "_blocks": structure.blocks_of(F.col("_shape")),
         "_names": structure.identifiers(F.col("_classified")),
         "_kinds": structure.token_kinds(F.col("_classified")),
-        "_args": structure.argument_counts(F.col("code"), language),
+        "_args": _arguments("code", "detected_language"),
     })
 
 

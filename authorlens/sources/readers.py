@@ -22,8 +22,7 @@ def is_accepted(name: Column) -> Column:
 
 def read_code_files(spark: SparkSession, path: str, accepted_only: bool = True) -> DataFrame:
     """One row per file ``(id, file, code)``; files that vanish meanwhile are skipped."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("ignoreMissingFiles", True).text(path))
+    raw = spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True, recursiveFileLookup=True)
     out = raw.select(F.col("_metadata.file_name").alias("file"), F.coalesce("value", F.lit("")).alias("code"))
     if accepted_only:
         out = out.filter(is_accepted(F.col("file")))
