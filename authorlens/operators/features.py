@@ -129,7 +129,7 @@ def identifiers(df: DataFrame) -> DataFrame:
 
 
 def code_blocks(df: DataFrame) -> DataFrame:
-    """Relation ``(id, node_id, role, depth, start, finish, name)`` of the constructs of each text."""
+    """Relation ``(id, node_id, role, depth, start, finish, name, opened, closed)`` of the constructs of each text."""
     df = with_shape(df if "detected_language" in df.columns else with_language(df))
     return text.unnest(df, ["id"], "_blocks", "node_id").select(
         "id", F.col("node_id").cast("long").alias("node_id"), "_e.*")

@@ -44,14 +44,15 @@ def events_from_html(pages: DataFrame, html: str = "html") -> DataFrame:
 def events_from_code(df: DataFrame) -> DataFrame:
     """Constructs of code as events: each opens before those inside it and closes after them."""
     blocks = code_blocks(df)
-    opening = F.struct(F.lit(1).alias("delta"), F.col("start").alias("line"))
-    closing = F.struct(F.lit(-1).alias("delta"), F.col("finish").alias("line"))
+    leaf = F.col("opened") == F.col("closed")
+    # at one step of the scan: older constructs close (inner first), new ones open, leaves close
+    opening = F.struct(F.lit(1).alias("delta"), F.col("start").alias("line"), F.col("opened").alias("tick"),
+                       F.lit(1).alias("phase"), leaf.cast("int").alias("turn"))
+    closing = F.struct(F.lit(-1).alias("delta"), F.col("finish").alias("line"), F.col("closed").alias("tick"),
+                       F.when(leaf, F.lit(2)).otherwise(F.lit(0)).alias("phase"), (-F.col("opened")).alias("turn"))
     ends = unnest(blocks.withColumn("_ends", F.array(opening, closing)),
-                  ["id", "node_id", "role", "depth"], "_ends").select("id", "node_id", "role", "depth", "_e.*")
-    # a construct is recorded when it closes, so node_id is the closing order; openings follow
-    # line, then the reverse of closing order
-    w = Window.partitionBy("id").orderBy(
-        "line", F.desc("delta"), F.when(F.col("delta") == 1, -F.col("node_id")).otherwise(F.col("node_id")))
+                  ["id", "node_id", "role"], "_ends").select("id", "node_id", "role", "_e.*")
+    w = Window.partitionBy("id").orderBy("tick", "phase", "turn", "node_id")
     return ends.select("id", F.row_number().over(w).cast("bigint").alias("seq"), F.col("delta").cast("bigint").alias("delta"),
                        F.col("role").alias("type"), "role", F.col("line").cast("bigint").alias("line"), "node_id")
 

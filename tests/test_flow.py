@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from authorlens import schemas
 from authorlens.operators import perplexity, scoring, training
 from authorlens.plans.analysis import analyze
 from authorlens.sources import readers, sinks
@@ -15,7 +16,8 @@ from tests.test_learning import samples
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return training.train(samples(spark), training.ForestSettings(trees=3, depth=3, calibration_folds=2), validate=False)
+    return training.train(samples(spark), training.ForestSettings(trees=3, depth=3, calibration_folds=2),
+                          names=schemas.MODEL_FEATURES[:8], validate=False)
 
 
 def submissions(spark):
