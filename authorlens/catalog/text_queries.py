@@ -132,23 +132,23 @@ def operator_spacing(spark, sf):
 # ------------------------------------------------------------------ tokens
 
 def token_entropy(spark, sf):
-    return I.documents(spark, sf).select("id", F.round(text.entropy_of(text.tokens_of(F.col("code"))), 6).alias("token_entropy"))
+    return I.documents(spark, sf, busy=True).select("id", F.round(text.entropy_of(text.tokens_of(F.col("code"))), 6).alias("token_entropy"))
 
 
 def char_entropy(spark, sf):
-    return I.documents(spark, sf).select("id", F.round(text.entropy_of(text.chars_of(F.col("code"))), 6).alias("char_entropy"))
+    return I.documents(spark, sf, busy=True).select("id", F.round(text.entropy_of(text.chars_of(F.col("code"))), 6).alias("char_entropy"))
 
 
 def token_frequencies(spark, sf):
-    return perplexity.token_counts(I.documents(spark, sf))
+    return perplexity.token_counts(I.documents(spark, sf, busy=True))
 
 
 def bigram_perplexity(spark, sf):
-    return _rounded(perplexity.bigram_perplexity(I.documents(spark, sf)), "id")
+    return _rounded(perplexity.bigram_perplexity(I.documents(spark, sf, busy=True)), "id")
 
 
 def perplexity_readings(spark, sf):
-    p = perplexity.bigram_perplexity(I.documents(spark, sf))
+    p = perplexity.bigram_perplexity(I.documents(spark, sf, busy=True))
     return p.groupBy(scoring.perplexity_reading(F.col("perplexity")).alias("reading")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,13 +174,13 @@ def code_structure(spark, sf):
 
 
 def feature_table(spark, sf):
-    return _rounded(features.extract_features(I.documents(spark, sf)).drop("error"), "id", "detected_language")
+    return _rounded(features.extract_features(I.documents(spark, sf, busy=True)).drop("error"), "id", "detected_language")
 
 
 # ------------------------------------------------------------------ gates
 
 def submission_gate(spark, sf):
-    return scoring.gate(I.documents(spark, sf), scoring.MAX_CHARS).select("id", "meaningful_lines", "error", "gate_verdict")
+    return scoring.gate(I.documents(spark, sf, busy=True), scoring.MAX_CHARS).select("id", "meaningful_lines", "error", "gate_verdict")
 
 
 def short_text_gate(spark, sf):
@@ -216,7 +216,7 @@ def annotation_counts(spark, sf):
 
 
 def annotated_source(spark, sf):
-    return annotations.annotated_source(I.documents(spark, sf).withColumn("detected_language", F.lit("java")))
+    return annotations.annotated_source(I.documents(spark, sf, busy=True).withColumn("detected_language", F.lit("java")))
 
 
 def _annotations_sql(source: str, lang: str) -> str:

@@ -43,3 +43,17 @@ def cut_lineage(df):
     """Reliable checkpoint, so that later stages survive the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SPLIT_BYTES = 32 << 20  # texts cost much more to analyse than to read, so tasks should be small
+
+
+def spread(df):
+    """Deal rows out evenly before CPU-heavy row-local work, but only where the scan cannot.
+
+    A file with one row group is read by one task whatever its size.  Inputs that already
+    give every core several splits are left alone, so a large table is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(3 * cores) if size < cores * SPLIT_BYTES else df
