@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from authorlens.functions.text import tokens_of, unnest
-
-HOT_SHARE = 1e-4  # keys above this share of all occurrences: at most 1 / HOT_SHARE of them exist
+from authorlens.operators.joins import lookup
+from authorlens.session import cut_lineage
 
 
 def token_counts(df: DataFrame) -> DataFrame:
@@ -29,30 +29,18 @@ def text_bigrams(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     return out.groupBy("id", F.col("_e").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def lookup(left: DataFrame, table: DataFrame, key: str, value: str, weight: str, spread: str) -> DataFrame:
-    """Left join with a unique-key table whose keys may be very frequent on the left.
+def bigram_model(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """``(pair, n, log_p)`` with log p = ln((n + 1) / (n_first + V)).
 
-    Keys that make up more than ``HOT_SHARE`` of all occurrences are broadcast (a table of
-    at most 1 / HOT_SHARE rows whatever the data); the rows they serve are then scattered
-    by ``spread`` over keys that match nothing, so no task of the shuffled join is hot.
+    The counts and the model are written to the checkpoint folder, as each is read several times.
     """
-    total = table.agg(F.sum(weight).alias("w"))
-    hot = table.filter(F.col(weight) >= total.scalar() * HOT_SHARE).select(key, F.col(value).alias("_hot"))
-    out = left.join(F.broadcast(hot), key, "left")
-    aside = F.concat(F.lit("  "), F.pmod(F.xxhash64(spread), F.lit(4096)).cast("string"))
-    out = out.withColumn("_k", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(aside))
-    cold = table.select(F.col(key).alias("_k"), F.col(value).alias("_cold"))
-    return out.join(cold, "_k", "left").withColumn(value, F.coalesce("_hot", "_cold")).drop("_k", "_hot", "_cold")
-
-
-def bigram_model(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
-    """``(pair, n, log_p)`` with log p = ln((n + 1) / (n_first + V))."""
     pairs = text_bigrams(df, max_tokens).groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = pairs.withColumn("first", F.substring_index("pair", " ", 1))
+    pairs = cut_lineage(pairs.withColumn("first", F.substring_index("pair", " ", 1)))
     firsts = pairs.groupBy("first").agg(F.sum("n").alias("n_first"))
     vocabulary = token_counts(df).agg(F.count(F.lit(1)).alias("v"))
     joined = lookup(pairs, firsts.withColumn("w", F.col("n_first")), "first", "n_first", "w", "pair")
-    return joined.select("pair", "n", F.ln((F.col("n") + 1.0) / (F.col("n_first") + vocabulary.scalar())).alias("log_p"))
+    log_p = F.ln((F.col("n") + 1.0) / (F.col("n_first") + vocabulary.scalar()))
+    return cut_lineage(joined.select("pair", "n", log_p.alias("log_p")))
 
 
 def bigram_perplexity(df: DataFrame, max_tokens: int | None = None, model: DataFrame | None = None) -> DataFrame:
