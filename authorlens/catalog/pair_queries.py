@@ -170,7 +170,9 @@ ORACLE = {
     "similarity_tiers": f"SELECT CASE WHEN {_PCT} >= 80 THEN 'Very high similarity' WHEN {_PCT} >= 60 THEN 'High similarity' WHEN {_PCT} >= 40 THEN 'Moderate' "
                         f"ELSE 'Low similarity' END AS tier, CASE WHEN {_PCT} >= 85 THEN 'red' ELSE 'amber' END AS colour, count(*) AS n FROM {_similar_sql('0.4')} p GROUP BY ALL",
     "pairs_at_least": f"SELECT id_a, id_b, round(similarity, 6) AS similarity FROM {_similar_sql('0.4')} p WHERE round(similarity, 4) >= 0.9::DOUBLE",
-    "blocked_pairs": f"SELECT id_a, id_b, round(similarity, 6) AS similarity FROM {_pairs_sql(_STRIPPED, 'lang || chr(10)')} p WHERE similarity >= 0.6::DOUBLE",
+    "blocked_pairs": f"WITH g AS (SELECT min(id) AS id, count(*) AS copies, lang, code FROM {_STRIPPED} s GROUP BY lang, code) SELECT id_a, id_b, round(similarity, 6) AS "
+                     f"similarity, a.copies AS copies_a, b.copies AS copies_b FROM {_pairs_sql('g', 'lang || chr(10)')} p JOIN g a ON a.id = id_a JOIN g b ON b.id = id_b "
+                     f"WHERE similarity >= 0.6::DOUBLE UNION ALL SELECT id, id, 1.0, copies, copies FROM g WHERE copies > 1",
     "similarity_cells": f"WITH p AS (SELECT id_a, id_b, round(similarity, 4) AS similarity FROM {_similar_sql('0.4')} q WHERE id_a <> id_b) SELECT * FROM p UNION ALL "
                         f"SELECT id_b, id_a, similarity FROM p UNION ALL SELECT id, id, 1.0 FROM {_GROUPS} g",
     "pair_sources": f"SELECT id_a, id_b, length(a.text) AS len_a, length(b.text) AS len_b FROM {_similar_sql('0.7')} p JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b",

@@ -19,7 +19,7 @@ TOO_SHORT_VERDICT = "Premalo koda za analizu"
 NO_MODEL_VERDICT = "Model nije dostupan"
 EMPTY_ERROR = "Prazni kod."
 TOO_LONG_ERROR = "Kod je predugačak. Maksimalno 100.000 znakova."
-NO_MODEL_ERROR = "Model nije treniran. Pokreni: python classifier.py"
+NO_MODEL_ERROR = "Model nije treniran."
 TOO_SHORT_ERROR = ("Analiza zahtijeva najmanje 5 nepraznih linija koda. Predani isječak ima %d (%s).")
 SUSPICIOUS = 0.70
 CATEGORIES = {
