@@ -4,16 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from authorlens.llm import simhash
+from authorlens.llm import langid, pii, secrets, simhash
 from authorlens.llm.tables import documents
 
 
+def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(documents(spark, sf, "doc_id", "text"))
+
+
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(documents(spark, sf, "doc_id", "text"))
+
+
+def op3_langid(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.digest(documents(spark, sf, "doc_id", "text", "lang"))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf, "doc_id", "text"))
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_pii": op2_pii,
+    "op3_langid": op3_langid,
     "op9_simhash": op9_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_pii": pii.oracle(),
+}
