@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from authorlens.llm import langid, pii, secrets, simhash
-from authorlens.llm.tables import documents
+from authorlens.llm import decontam, langid, packing, pii, secrets, simhash, tokens
+from authorlens.llm.tables import documents, table
 
 
 def op1_secrets(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +21,18 @@ def op3_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.digest(documents(spark, sf, "doc_id", "text", "lang"))
 
 
+def op4_decontam(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.found_leaks(documents(spark, sf, "doc_id", "text"), table(spark, sf, "benchmark"))
+
+
+def op6_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.counts(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf, "doc_id", "text"))
 
@@ -28,6 +41,9 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_pii": op2_pii,
     "op3_langid": op3_langid,
+    "op4_decontam": op4_decontam,
+    "op6_tokens": op6_tokens,
+    "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
 }
 
