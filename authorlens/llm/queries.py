@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from authorlens.llm import decontam, langid, packing, pii, secrets, simhash, tokens
+from authorlens.llm import decontam, langid, packing, pii, secrets, simhash, tokens, toxicity
 from authorlens.llm.tables import documents, table
 
 
@@ -37,6 +37,10 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf, "doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.digest(documents(spark, sf, "doc_id", "text"), table(spark, sf, "labels"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_pii": op2_pii,
@@ -45,6 +49,7 @@ QUERIES = {
     "op6_tokens": op6_tokens,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
