@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from authorlens.llm import decontam, langid, packing, pii, secrets, simhash, tokens, toxicity
+from authorlens.llm import decontam, langid, packing, pii, secrets, shards, simhash, tokens, toxicity
 from authorlens.llm.tables import documents, table
 
 
@@ -25,6 +25,10 @@ def op4_decontam(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.found_leaks(documents(spark, sf, "doc_id", "text"), table(spark, sf, "benchmark"))
 
 
+def op5_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.sharded(documents(spark, sf))
+
+
 def op6_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.counts(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_langid": op3_langid,
     "op4_decontam": op4_decontam,
+    "op5_shards": op5_shards,
     "op6_tokens": op6_tokens,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
