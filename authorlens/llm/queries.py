@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from authorlens.llm import decontam, langid, packing, pii, secrets, shards, simhash, tokens, toxicity
+from authorlens.llm import decontam, langid, metricjoin, packing, pii, secrets, shards, simhash, tokens, toxicity
 from authorlens.llm.tables import documents, table
 
 
@@ -33,6 +33,10 @@ def op6_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.counts(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_metricjoin(spark: SparkSession, sf: str) -> DataFrame:
+    return metricjoin.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_decontam": op4_decontam,
     "op5_shards": op5_shards,
     "op6_tokens": op6_tokens,
+    "op7_metricjoin": op7_metricjoin,
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
