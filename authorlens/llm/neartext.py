@@ -1,0 +1,126 @@
+"""Near-duplicate texts on word shingles: SimHash candidates, verified by the shingles themselves.
+
+Texts link at a Jaccard similarity of at least ``similarity`` over sets of ``width``-word
+shingles.  At 0.8 and five words two SimHash fingerprints differ in about nine of 64 bits
+(measured: 4 to 14), out of reach of any code that finds two.  So besides the Golay keys of the
+fingerprint a text is listed under ``MINIMA`` minima of its shingle hashes: a pair at the
+threshold shares none of them with probability (1 - similarity) ** MINIMA, 2.6e-6 here.
+
+A bucket of up to ``FEW`` texts gives all its pairs.  In a larger one, in fingerprint order,
+each text meets the first one and its ``NEXT`` successors; as every text is in MINIMA + 18
+buckets, and links are transitive, members of one large group are joined through others.
+Every candidate is verified on the whole texts.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
+
+from authorlens.llm.graph import components
+from authorlens.llm.simhash import SEED, golay_keys, majority_bits, shingle_hashes
+from authorlens.session import cut_lineage
+
+WIDTH = 5
+SIMILARITY = 0.8
+MINIMA = 8
+FEW = 24
+NEXT = 3
+RUN = 4_096
+# Odd multipliers that make MINIMA orders of one hash, by rule.
+ORDERS = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(MINIMA)], np.uint64)
+
+
+def _words_hash(text: str | None) -> int:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.array(xxhash.xxh64_intdigest(b" ".join(words), SEED), np.uint64).view(np.int64).item()
+
+
+def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, raw, node, fp, size, minima): hashes of the text and of its words, fingerprint, shingles, minima."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for text in b.column(2).to_pylist():
+                h = shingle_hashes(text, width)
+                minima = [(h * o).min() for o in ORDERS] if len(h) else []
+                rows.append((_words_hash(text), np.array(majority_bits(h), np.uint64).view(np.int64).item(), len(np.unique(h)),
+                             np.array(minima, np.uint64).view(np.int64).tolist()))
+            node, fp, size, minima = zip(*rows) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(size, pa.int64()),
+                                              pa.array(minima, pa.list_(pa.int64()))], ["doc_id", "raw", "node", "fp", "size", "minima"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("raw"), "text").mapInArrow(
+        run, f"doc_id {kind}, raw long, node long, fp long, size long, minima array<long>")
+
+
+def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) distinct pairs of nodes that share a key and whose sizes allow the similarity."""
+    minima = nodes.select("node", "fp", "size", F.posexplode("minima").alias("k", "least")).select(
+        F.xxhash64("k", "least").alias("key"), "node", "fp", "size")
+    codes = golay_keys(nodes.select("fp").distinct()).join(nodes.select("fp", "node", "size"), "fp").select(
+        F.xxhash64(F.lit(-1), "key").alias("key"), "node", "fp", "size")
+    keys = minima.unionByName(codes)
+    shared = cut_lineage(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    item = F.struct("fp", "node", "size").alias("x")
+    few = (shared.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "node", "size"))).alias("xs"))
+           .select("xs", F.posexplode("xs").alias("i", "x")).select("x", F.explode(F.expr("slice(xs, i + 2, size(xs))")).alias("y")))
+    # large buckets are dealt into runs of about RUN texts
+    many = shared.where(F.col("n") > FEW).select("key", item, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / RUN)).alias("run"))
+    order = Window.partitionBy("key", "run").orderBy("x")
+    after = many.select("x", F.array(*[F.lead("x", i).over(order) for i in range(1, NEXT + 1)]).alias("ys"))
+    next_to = after.select("x", F.explode("ys").alias("y")).where("y is not null")
+    firsts = many.groupBy("key").agg(F.min("x").alias("y"))
+    to_first = many.join(firsts, "key").select("x", "y")
+    pairs = few.unionByName(next_to).unionByName(to_first).where(
+        (F.col("x.node") != F.col("y.node")) & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose texts have the similarity; ``texts`` is (node, text) with one row per node."""
+    def run(batches):
+        for b in batches:
+            seen: dict[int, np.ndarray] = {}
+            ok = []
+            for a, z, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if len(seen) > 256:
+                    seen.clear()
+                for node, text in ((a, x), (z, y)):
+                    if node not in seen:
+                        seen[node] = np.unique(shingle_hashes(text, width))
+                both = len(np.intersect1d(seen[a], seen[z], assume_unique=True))
+                ok.append(both >= similarity * (len(seen[a]) + len(seen[z]) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    t = lambda name, as_: texts.select(F.col("node").alias(name), F.col("text").alias(as_))
+    return pairs.join(t("a", "x"), "a").join(t("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each group of linked texts the row of smallest doc_id stays.
+
+    Rows of equal words are one group, so of all null and blank texts one row stays.  A null
+    doc_id comes last; of wholly repeated rows one stays.
+    """
+    marks = cut_lineage(signatures(docs, width))
+    nodes = cut_lineage(marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("minima").alias("minima")))
+    pairs = cut_lineage(candidates(nodes.where("size > 0"), similarity))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one text of each node in a pair: by the id and hash of one of its rows
+    chosen = marks.join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("r"))
+    chosen = chosen.select("node", F.col("r.doc_id").alias("id__"), F.col("r.raw").alias("raw__"))
+    text = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
+    texts = cut_lineage(text.join(chosen, text.doc_id.eqNullSafe(chosen["id__"]) & (text.raw == chosen["raw__"]))
+                        .groupBy("node").agg(F.first("text").alias("text")))
+    roots = components(verified(pairs, texts, width, similarity))
+    grouped = marks.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "raw")
+    stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("r"))
+    times = grouped.groupBy("doc_id", "raw").agg(F.count("*").alias("times__"))
+    stays = stays.select(F.col("r.doc_id").alias("id__"), F.col("r.raw").alias("raw__"))
+    stays = cut_lineage(stays.join(times, stays["id__"].eqNullSafe(times["doc_id"]) & (stays["raw__"] == times["raw"])).select("id__", "raw__", "times__"))
+    marked = docs.withColumn("raw_of__", F.xxhash64("text"))
+    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["id__"]) & (marked["raw_of__"] == stays["raw__"]))
+    once, often = kept.where("times__ = 1"), kept.where("times__ > 1").dropDuplicates(["doc_id", "raw_of__"])
+    return once.unionByName(often).select(*docs.columns)
