@@ -17,7 +17,7 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFr
     rows = cut_lineage(rows.withColumn("part__", F.spark_partition_id()))
     parts = rows.groupBy(group, "part__").agg(F.count("*").alias("n__"))
     before = Window.partitionBy(group).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = parts.select(F.col(group).alias("group__"), F.col("part__").alias("at__"), F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("first__"))
+    firsts = parts.select(F.col(group).alias("of__"), F.col("part__").alias("at__"), F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("first__"))
     inner = rows.withColumn("rank__", F.row_number().over(Window.partitionBy(group, "part__").orderBy(*order)))
-    joined = inner.join(firsts, (F.col(group).eqNullSafe(F.col("group__"))) & (F.col("part__") == F.col("at__")))
-    return joined.withColumn(name, F.col("first__") + F.col("rank__") - 1).drop("part__", "group__", "at__", "first__", "rank__")
+    joined = inner.join(firsts, (F.col(group).eqNullSafe(F.col("of__"))) & (F.col("part__") == F.col("at__")))
+    return joined.withColumn(name, F.col("first__") + F.col("rank__") - 1).drop("part__", "of__", "at__", "first__", "rank__")

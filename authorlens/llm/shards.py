@@ -191,7 +191,7 @@ def assigned(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     whole_groups = rows.where(~F.col("group__").isin(list(split))) if split else rows
     out = whole_groups.join(shard.withColumnRenamed("home", "shard"), "group__")
     if split:
-        ranked = numbered(rows.where(F.col("group__").isin(list(split))), "group__", ["doc_id"], "rank__")
+        ranked = numbered(rows.where(F.col("group__").isin(list(split))), "group__", ["doc_id"], "nth")
         upto, case = {}, F
         for name, takes in split.items():
             upto[name], n = [], 0
@@ -200,8 +200,8 @@ def assigned(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
                 upto[name].append((n, s))
         for name, steps in upto.items():
             for n, s in steps:
-                case = case.when((F.col("group__") == name) & (F.col("rank__") < n), s)
-        out = out.unionByName(ranked.withColumn("shard", case.cast("int")).drop("rank__"))
+                case = case.when((F.col("group__") == name) & (F.col("nth") < n), s)
+        out = out.unionByName(ranked.withColumn("shard", case.cast("int")).drop("nth"))
     return out
 
 
