@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from authorlens.llm.tables import held_out
 from authorlens.llm.tokens import Memo
+from authorlens.session import cut_lineage
 
 #: Bounds of the fit: labelled rows of each class, drawn by a hash of id and text, and terms of the machine.
 SAMPLE_ROWS = 4_000
@@ -123,17 +124,20 @@ def fit(places: dict[int, int], rows: list[np.ndarray], labels: np.ndarray, seed
     return Machine(float(bias), places, w, v)
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """(toxic, text) of about SAMPLE_ROWS labelled rows of each class that are not held out, and rows of each class in it.
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, text) of about SAMPLE_ROWS labelled documents of each class that are not held out.
 
-    The draw compares a hash of id and text with the share wanted, so it needs no sorting, and
-    copies are drawn one by one.
+    The draw compares a hash of the id with the share wanted, so it needs no sorting, and what
+    is broadcast are the ids drawn: twice SAMPLE_ROWS by that bound.  Texts are not shuffled
+    but for the sample, of which an id that occurs more than once keeps its least text.
     """
-    toxic = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    toxic = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
+        F.max("toxic").cast("int").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in toxic.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_ROWS / there.get(1, 1))).otherwise(min(1.0, SAMPLE_ROWS / there.get(0, 1)))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40)
-    return docs.select("doc_id", "text").join(toxic.where(drawn), "doc_id").select("toxic", "text"), there
+    drawn = toxic.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    return cut_lineage(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
 
 
 def _counted(batches):
@@ -165,7 +169,7 @@ def _ratio(a: Column, b: Column, na: Column, nb: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """Choose terms and fit on the sample; the driver gets TERMS terms and the sample's rows as numbers of those terms."""
-    rows, _ = sampled(docs, labels)
+    rows = sampled(docs, labels)
     counts = (rows.mapInArrow(_counted, "term long, clean long, toxic long").groupBy("term")
               .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
