@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from authorlens.session import spread
+from authorlens.session import dealt
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf: str, busy: bool = False) -> DataFrame:
     """``busy`` deals the rows out for queries that do heavy work on each text."""
     d = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
-    d = spread(d) if busy else d
+    d = dealt(d) if busy else d
     return d.select(F.col("doc_id").alias("id"), F.col("text").alias("code"), "source", "lang")
 
 
@@ -26,7 +26,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     """Prose and markup together; ids say where a text is from."""
     d = documents(spark, sf).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "code")
     p = pages(spark, sf).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "code")
-    return spread(d.unionByName(p))
+    return dealt(d.unionByName(p))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:

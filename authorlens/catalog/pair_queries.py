@@ -71,17 +71,13 @@ def length_partners(spark, sf):
     return sim.length_partners(I.documents(spark, sf)).select("id", "len", "partners")
 
 
-def matched_pairs(spark, sf):
-    return sim.matched_pairs(I.documents(spark, sf))
-
-
 _STRIPPED = f"(SELECT id, lang, {I.strip_sql('code')} AS code FROM ({I.DOCUMENTS}) d0)"
 _GROUPS = f"(SELECT min(id) AS id, count(*) AS copies, code FROM {_STRIPPED} s GROUP BY code)"
 
 
 def _grams_sql(source: str, block: str = "''") -> str:
-    return (f"(SELECT id, g, count(*) AS c FROM (SELECT id, {block} || toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2] AS g FROM (SELECT *, "
-            f"unnest(range(1, len(toks) - 1)) AS i FROM (SELECT *, regexp_extract_all(code, '{I.TOKEN}') AS toks FROM {source} g0) g1) g2) g3 GROUP BY id, g)")
+    return (f"(SELECT id, g, count(*) AS c FROM (SELECT id, {block} || array_to_string(toks[i:i + 2], ' ') AS g FROM (SELECT *, "
+            f"unnest(range(1, greatest(len(toks) - 1, least(len(toks), 1) + 1))) AS i FROM (SELECT *, regexp_extract_all(code, '{I.TOKEN}') AS toks FROM {source} g0) g1) g2) g3 GROUP BY id, g)")
 
 
 def _pairs_sql(source: str, block: str = "''", measure: str = "dice") -> str:
@@ -156,7 +152,7 @@ _ROLE_N = ", ".join(f"count(*) FILTER (WHERE delta = 1 AND role = '{r}') AS n_{r
 
 QUERIES = {f.__name__: f for f in (
     copy_groups, kgram_similarity_pairs, suspicious_pairs, shingle_jaccard_pairs, similarity_tiers, pairs_at_least, blocked_pairs,
-    similarity_cells, pair_sources, pair_bounds, length_partners, matched_pairs, tree_events, tree_depth, node_types, role_counts,
+    similarity_cells, pair_sources, pair_bounds, length_partners, tree_events, tree_depth, node_types, role_counts,
     densities, nesting, block_spans, role_lengths)}
 
 _CHARS = ("(SELECT id, x, count(*) AS c FROM (SELECT id, unnest(string_split(code, '')) AS x FROM " + _STRIPPED + " c0) c1 GROUP BY id, x)")

@@ -7,9 +7,9 @@ texts yields all of it without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The whitespace and word classes of Unicode-aware matching,
 # written out because the default classes of Java regexes are ASCII.
@@ -32,16 +32,17 @@ def regex(pattern: str) -> str:
             .replace(r"\s", f"[{WS}]").replace(r"\w", f"[{WORD}]").replace(r"\b", edge))
 
 
-_BUILT: dict = {}
+_BUILT: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
     """Keep a large expression over named columns: building it takes longer than planning it."""
     def get(*names: str) -> Column:
-        key = (id(SparkContext._active_spark_context), make.__module__, make.__name__, names)
-        if key not in _BUILT:
-            _BUILT[key] = make(*[F.col(n) for n in names])
-        return _BUILT[key]
+        built = _BUILT.setdefault(SparkSession.active().sparkContext, {})
+        key = (make.__module__, make.__name__, names)
+        if key not in built:
+            built[key] = make(*[F.col(n) for n in names])
+        return built[key]
 
     return get
 

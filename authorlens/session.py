@@ -45,15 +45,12 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-SPLIT_BYTES = 32 << 20  # texts cost much more to analyse than to read, so tasks should be small
+def dealt(df, partitions: int | None = None):
+    """Deal rows out before CPU-heavy row-local work, if the session asks for it.
 
-
-def spread(df):
-    """Deal rows out evenly before CPU-heavy row-local work, but only where the scan cannot.
-
-    A file with one row group is read by one task whatever its size.  Inputs that already
-    give every core several splits are left alone, so a large table is never shuffled here.
+    A file with one row group is read by one task whatever its size.  ``partitions``, or the
+    setting ``authorlens.deal.partitions``, says how many tasks are wanted; without either the
+    splits of the scan stay as they are, and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(3 * cores) if size < cores * SPLIT_BYTES else df
+    n = partitions or int(df.sparkSession.conf.get("authorlens.deal.partitions", "0"))
+    return df.repartition(n) if n else df

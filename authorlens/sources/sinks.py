@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from authorlens import schemas
 from authorlens.operators.scoring import batch_summary, percent
+from authorlens.sources.readers import shown_id
 
 # Header of the result export.
 EXPORT_COLUMNS = [("id", "ID"), ("file", "Datoteka"), ("detected_language", "Jezik"),
@@ -28,6 +29,8 @@ def failures(features: DataFrame) -> DataFrame:
 
 def result_lines(results: DataFrame) -> DataFrame:
     """One JSON line per result, null fields kept."""
+    if dict(results.dtypes).get("id") == "string":
+        results = results.withColumn("id", shown_id(F.col("id")))
     return results.select(F.to_json(F.struct(F.lit("result").alias("type"), F.struct("*").alias("data")),
                                     {"ignoreNullFields": "false"}).alias("value"))
 

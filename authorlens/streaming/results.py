@@ -13,7 +13,7 @@ from authorlens.sources.sinks import result_lines
 
 
 def start_scoring(spark: SparkSession, source: str, sink: str, checkpoint: str, model: CalibratedForest | None,
-                  threshold: float = scoring.DEFAULT_THRESHOLD, files_per_trigger: int | None = 1,
+                  threshold: float = scoring.DEFAULT_THRESHOLD, files_per_trigger: int | None = None,
                   once: bool = True) -> StreamingQuery:
     """Judges new submission files and appends result rows under ``sink/results``.
 

@@ -41,7 +41,32 @@ def test_analyze(spark, model):
 def test_without_model(spark):
     got = {r.id: r for r in analyze(submissions(spark), None).collect()}
     assert got["p"].verdict == scoring.NO_MODEL_VERDICT and got["p"].ai_probability is None
-    assert got["s"].verdict == scoring.TOO_SHORT_VERDICT
+    assert got["s"].verdict == scoring.NO_MODEL_VERDICT and got["s"].error == scoring.NO_MODEL_ERROR
+    assert got["e"].error == scoring.EMPTY_ERROR and got["u"].error.startswith("Jezik 'cobol'") and got["u"].verdict is None
+
+
+def test_lines_are_marked_where_no_score_is(spark, model):
+    note = "# four words of comment"
+    df = spark.createDataFrame([("s", note, "python"), ("u", note, "cobol"), ("e", "", "python")], "id string, code string, language string")
+    for m in (None, model):
+        got = {r.id: r for r in analyze(df, m).collect()}
+        assert [(a.line, a.tone) for a in got["s"].line_annotations] == [(1, "amber")] and got["s"].detected_language is None
+        assert got["u"].line_annotations is None and got["u"].error.startswith("Jezik 'cobol'")
+        assert got["e"].line_annotations is None and got["e"].error == scoring.EMPTY_ERROR
+
+
+def test_submissions_without_id_stay_apart(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"code": "x = 1"}\n{"code": "y = 2"}\n{"id": "k", "code": "z"}\n')
+    got = readers.read_submissions(spark, str(tmp_path))
+    ids = [r.id for r in got.collect()]
+    assert len(set(ids)) == 3 and "k" in ids
+    assert sorted(r.s for r in got.select(readers.shown_id(F.col("id")).alias("s")).collect()) == ["k", "nepoznat", "nepoznat"]
+    assert scoring.attach_source(got.select("id"), got).count() == 3
+
+
+def test_last_summary_counts(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text("".join(json.dumps({"type": "summary", "data": {"total": n}}) + "\n" for n in (9, 11, 10)))
+    assert json.loads(readers.result_totals(readers.read_results(spark, str(tmp_path))).first().summary)["total"] == 10
 
 
 def test_plan_is_narrow(spark, model):

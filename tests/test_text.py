@@ -82,13 +82,11 @@ def test_golden_pair(spark):
         [("a", NEAR_A, "python"), ("b", NEAR_B, "Python"), ("e", "", "python"), ("x", "y = 1", "cobol")],
         "id string, code string, language string")).collect()}
     want = {
-        "a": dict(total_lines=10, num_comment_lines=3, comment_ratio=0.3, avg_comment_length_words=3.666667,
-                  comment_to_code_ratio=0.375723, empty_line_ratio=0.3, avg_line_length=23.428571, max_line_length=62,
-                  operator_spacing_consistency=1.0, uses_tabs=0, trailing_whitespace_ratio=0, num_docstrings=0,
-                  num_block_comments=0, token_entropy=4.862992, char_entropy=4.702036),
-        "b": dict(total_lines=9, num_comment_lines=2, comment_ratio=0.222222, avg_comment_length_words=4.0,
-                  comment_to_code_ratio=0.309677, empty_line_ratio=0.333333, avg_line_length=24.5, max_line_length=62,
-                  token_entropy=4.812273, char_entropy=4.681398),
+        "a": dict(total_lines=9, num_comment_lines=1, comment_ratio=0.111111, avg_comment_length_words=6.0,
+                  empty_line_ratio=0.222222, avg_line_length=29.571429, max_line_length=41, uses_tabs=0,
+                  trailing_whitespace_ratio=0, num_docstrings=0, num_block_comments=0, token_entropy=4.918089, char_entropy=4.404783),
+        "b": dict(total_lines=9, num_comment_lines=1, comment_ratio=0.111111, avg_comment_length_words=8.0,
+                  empty_line_ratio=0.222222, avg_line_length=31.0, max_line_length=47, token_entropy=5.051109, char_entropy=4.483513),
         "e": dict(total_lines=1, empty_line_ratio=1.0, max_line_length=0, token_entropy=0, char_entropy=0),
     }
     for i, values in want.items():
