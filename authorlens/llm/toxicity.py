@@ -35,6 +35,7 @@ BATCH = 64
 RATE = 0.2
 DECAY = 1e-4
 PREFIXES = (4, 5, 6, 7)
+REMEMBERED = 80_000  # words
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,7 +61,7 @@ class Reader:
     """Rows of the machine's terms in a text; what a word means to it is remembered."""
 
     def __init__(self, places: dict[int, int]):
-        self.places, self.memo = places, Memo(self.word)
+        self.places, self.memo = places, Memo(self.word, REMEMBERED)
 
     def word(self, word: str) -> bytes:
         return np.array([self.places[h] for h in word_hashes(word) if h in self.places], "<u4").tobytes()
