@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from authorlens.functions.text import tokens_of, unnest
+from authorlens.functions.text import let, run_starts, tokens_of, unnest
 from authorlens.operators.joins import lookup
 from authorlens.session import cut_lineage
 
@@ -19,14 +19,42 @@ def token_counts(df: DataFrame) -> DataFrame:
     return toks.groupBy(F.col("_e").alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def text_bigrams(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
-    """``(id, pair, n)``: pairs of neighbouring tokens, joined by a space no token contains."""
+def _row_counts(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """``(id, pair, n)`` counted inside each row from the sorted pairs, so nothing is shuffled.
+
+    The last token of a text stands as a pair with nothing: with these rows every token of the
+    corpus is the first of some pair, and one tokenisation yields pairs, firsts and vocabulary.
+    """
     toks = tokens_of(F.col("code"))
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-    pairs = F.array_compact(F.transform("t", lambda x, i: F.when(i > 0, F.concat(F.get("t", i - 1), F.lit(" "), x))))
-    out = unnest(df.select("id", toks.alias("t")).select("id", pairs.alias("p")), ["id"], "p")
-    return out.groupBy("id", F.col("_e").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.transform("t", lambda x, i: F.concat(x, F.lit(" "), F.coalesce(F.get("t", i + 1), F.lit(""))))
+
+    def runs(s):
+        return let(run_starts(s), lambda starts: F.transform(starts, lambda p, j: F.struct(
+            F.get(s, p).alias("pair"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("long").alias("n"))))
+
+    counted = df.select("id", toks.alias("t")).select("id", let(F.sort_array(pairs), runs).alias("p"))
+    return unnest(counted, ["id"], "p").select("id", "_e.pair", "_e.n")
+
+
+def _real(pair: str = "pair"):
+    return ~F.endswith(F.col(pair), F.lit(" "))
+
+
+def text_bigrams(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """``(id, pair, n)``: pairs of neighbouring tokens, joined by a space no token contains."""
+    return _row_counts(df, max_tokens).where(_real())
+
+
+def _model_of(counted: DataFrame) -> DataFrame:
+    pairs = counted.groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = cut_lineage(pairs.withColumn("first", F.substring_index("pair", " ", 1)))
+    firsts = pairs.groupBy("first").agg(F.sum(F.when(_real(), F.col("n")).otherwise(F.lit(0))).alias("n_first"))
+    vocabulary = firsts.agg(F.count(F.lit(1)).alias("v"))
+    joined = lookup(pairs.where(_real()), firsts.withColumn("w", F.col("n_first")), "first", "n_first", "w", "pair")
+    log_p = F.ln((F.col("n") + 1.0) / (F.col("n_first") + vocabulary.scalar()))
+    return cut_lineage(joined.select("pair", "n", log_p.alias("log_p")))
 
 
 def bigram_model(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
@@ -34,13 +62,7 @@ def bigram_model(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
 
     The counts and the model are written to the checkpoint folder, as each is read several times.
     """
-    pairs = text_bigrams(df, max_tokens).groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = cut_lineage(pairs.withColumn("first", F.substring_index("pair", " ", 1)))
-    firsts = pairs.groupBy("first").agg(F.sum("n").alias("n_first"))
-    vocabulary = token_counts(df).agg(F.count(F.lit(1)).alias("v"))
-    joined = lookup(pairs, firsts.withColumn("w", F.col("n_first")), "first", "n_first", "w", "pair")
-    log_p = F.ln((F.col("n") + 1.0) / (F.col("n_first") + vocabulary.scalar()))
-    return cut_lineage(joined.select("pair", "n", log_p.alias("log_p")))
+    return _model_of(_row_counts(df, max_tokens))
 
 
 def bigram_perplexity(df: DataFrame, max_tokens: int | None = None, model: DataFrame | None = None) -> DataFrame:
@@ -48,8 +70,11 @@ def bigram_perplexity(df: DataFrame, max_tokens: int | None = None, model: DataF
 
     Whole texts by default; ``max_tokens=512`` gives the window of the original scorer.
     """
-    model = bigram_model(df, max_tokens) if model is None else model
-    scored = lookup(text_bigrams(df, max_tokens), model, "pair", "log_p", "n", "id")
+    counted = _row_counts(df, max_tokens)
+    if model is None:
+        counted = cut_lineage(counted)
+        model = _model_of(counted)
+    scored = lookup(counted.where(_real()), model, "pair", "log_p", "n", "id")
     per_text = scored.groupBy("id").agg(F.sum("n").alias("n_pairs"),
                                         F.sum(F.col("n") * F.col("log_p")).alias("_l"))
     return df.select("id").join(per_text, "id", "left").select(
