@@ -7,10 +7,13 @@ from pyspark.sql import functions as F, types as T
 from authorlens.catalog import inputs as I
 from authorlens.operators import corpus, evaluation, ranking, scoring, training
 from authorlens.operators.features import extract_features
+from authorlens.operators.perplexity import with_perplexity
+from authorlens.plans.analysis import analyze
 from authorlens.session import cut_lineage
 from authorlens.sources.sinks import export_rows, result_lines
 
 ROUND = 6
+SMALL_FOREST = training.ForestSettings(trees=8, depth=6)  # the default has 300 trees of depth 30
 
 
 def _r(df, *names):
@@ -240,12 +243,23 @@ _CM = (f"(SELECT count(*) FILTER (WHERE p <= 0.5 AND y_true <> 1)::DOUBLE AS tn,
 
 # ------------------------------------------------------------------ learning
 
+def analysis(spark, sf):
+    """The whole analysis of every document: real features with perplexity, a model fitted here, reasons and marked lines."""
+    d = with_perplexity(I.documents(spark, sf, busy=True))
+    labelled = d.select("id", "code", "source", "_ppl").join(I.samples(spark, sf).select("id", "label"), "id").withColumn("language", F.lit("python"))
+    data = cut_lineage(extract_features(labelled, F.col("_ppl"), keep=["id", "label", "source"]).drop("error"))
+    model = training.train(data, SMALL_FOREST, validate=False)
+    out = analyze(d, model, model.threshold, perplexity=F.col("_ppl"))
+    return out.select("id", "ai_probability", "verdict", "detected_language", "error", F.get("top_features", F.lit(0))["name"].alias("first_feature"),
+                      F.round(F.col("all_features.perplexity"), ROUND).alias("perplexity"), F.size("explanations").alias("n_reasons"),
+                      F.size("line_annotations").alias("n_lines"))
+
+
 def trained_scores(spark, sf):
     """Scores of a small calibrated forest on its rebuilt test split."""
     data = extract_features(I.samples(spark, sf).withColumn("language", F.lit("python")), keep=["id", "label", "source"]).drop("error")
     data = cut_lineage(data)
-    settings = training.ForestSettings(trees=8, depth=6)
-    model = training.train(data, settings, validate=False)
+    model = training.train(data, SMALL_FOREST, validate=False)
     return _r(training.predictions(model, data), "p")
 
 
@@ -254,7 +268,7 @@ QUERIES = {f.__name__: f for f in (
     result_messages, top_features, corpus_union, corpus_capped, label_normalise, source_counts, class_stats, class_counts,
     undersample, stratified_split, held_out, folds, class_weights, standardise, confusion, confusion_by_source,
     class_report, auc_roc, average_precision, pr_curve, threshold_search, precision_recall_at_k, score_rank,
-    trained_scores)}
+    trained_scores, analysis)}
 
 _RES = f"(SELECT id, code, source, lang, {I.PROBABILITY} AS p FROM ({I.DOCUMENTS}) d)"
 

@@ -174,7 +174,8 @@ def code_structure(spark, sf):
 
 
 def feature_table(spark, sf):
-    return _rounded(features.extract_features(I.documents(spark, sf, busy=True)).drop("error"), "id", "detected_language")
+    d = perplexity.with_perplexity(I.documents(spark, sf, busy=True))
+    return _rounded(features.extract_features(d, F.col("_ppl")).drop("error"), "id", "detected_language")
 
 
 # ------------------------------------------------------------------ gates

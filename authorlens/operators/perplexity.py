@@ -65,6 +65,11 @@ def bigram_model(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
     return _model_of(_row_counts(df, max_tokens))
 
 
+def with_perplexity(df: DataFrame, name: str = "_ppl", model: DataFrame | None = None) -> DataFrame:
+    """``df`` with the perplexity of each text as a column, for ``extract_features`` and ``analyze``."""
+    return df.join(bigram_perplexity(df.select("id", "code"), model=model).select("id", F.col("perplexity").alias(name)), "id")
+
+
 def bigram_perplexity(df: DataFrame, max_tokens: int | None = None, model: DataFrame | None = None) -> DataFrame:
     """``(id, n_pairs, perplexity)``; -1.0 for texts without a pair.
 
