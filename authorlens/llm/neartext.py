@@ -7,9 +7,11 @@ fingerprint a text is listed under ``MINIMA`` minima of its shingle hashes: a pa
 threshold shares none of them with probability (1 - similarity) ** MINIMA, 2.6e-6 here.
 
 A bucket of up to ``FEW`` texts gives all its pairs.  In a larger one, in fingerprint order,
-each text meets the first one and its ``NEXT`` successors; as every text is in MINIMA + 18
-buckets, and links are transitive, members of one large group are joined through others.
-Every candidate is verified on the whole texts.
+each text meets the first one and its ``NEXT`` successors, which joins most of a large group.
+Where texts of one crowded bucket of minima are still in different groups (they share a
+frequent passage, or a link was not met), a prefix filter on their shingles, ordered rarest
+first, finds every pair of different groups that can reach the similarity; frequent passages
+leave the prefixes.  Every candidate is verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from authorlens.llm.graph import components
 from authorlens.llm.simhash import SEED, golay_keys, majority_bits, shingle_hashes
+from authorlens.operators.joins import lookup
 from authorlens.session import cut_lineage
 
 WIDTH = 5
@@ -29,6 +32,7 @@ MINIMA = 8
 FEW = 24
 NEXT = 3
 RUN = 4_096
+GROUP = 2_000  # texts of a shingle that one join task handles
 # Odd multipliers that make MINIMA orders of one hash, by rule.
 ORDERS = np.array([xxhash.xxh64_intdigest(str(i), SEED) | 1 for i in range(MINIMA)], np.uint64)
 
@@ -79,6 +83,54 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def crowded(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the nodes in a bucket of minima of more than FEW nodes that are not all of one group."""
+    minima = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.posexplode("minima").alias("k", "least"))
+    keys = cut_lineage(minima.select(F.xxhash64("k", "least").alias("key"), "node", "root"))
+    crowds = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+                         .where((F.col("n") > FEW) & (F.col("lo") != F.col("hi"))).select("key", "n", F.col("n").alias("w")))
+    return cut_lineage(lookup(keys, crowds, "key", "n", "w", "node").where("n is not null").select("node", "root").distinct())
+
+
+def across(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): every pair of nodes of different roots whose shingles can reach the similarity.
+
+    ``texts`` is (node, root, text).  In one order of all shingles, rarest first, such a pair
+    shares a shingle among the first size - least overlap + 1 of each text; the least overlap
+    of the smaller text is with a partner of its own size, that of the larger with the
+    smallest partner allowed.  Where the first one shared stands bounds the overlap too.
+    Shingles of one root cannot join two and come first in the order.
+    """
+    def run(batches):
+        for b in batches:
+            for node, root, text in zip(*(c.to_pylist() for c in b.columns)):
+                h = np.unique(shingle_hashes(text, width)).view(np.int64)
+                for lo in range(0, len(h), 1 << 16):
+                    part = h[lo:lo + (1 << 16)]
+                    full = lambda v: pa.array(np.full(len(part), v, np.int64))
+                    yield pa.RecordBatch.from_arrays([full(node), full(root), full(len(h)), pa.array(part)], ["node", "root", "size", "item"])
+    items = cut_lineage(texts.select("node", "root", "text").mapInArrow(run, "node long, root long, size long, item long"))
+    shared = cut_lineage(items.groupBy("item").agg(F.count("*").alias("freq"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+                         .where("lo <> hi").select("item", "freq", F.col("freq").alias("w")))
+    met = lookup(items, shared, "item", "freq", "w", "node").where("freq is not null")
+    own = Window.partitionBy("node")
+    alone = F.col("size") - F.count("*").over(own)
+    ranked = met.withColumn("left", F.col("size") - alone - F.row_number().over(own.orderBy("freq", "item")) + 1)  # this shingle and those after it
+    equal = 2 * similarity / (1 + similarity)
+    split = F.ceil(F.col("freq") / GROUP).cast("int")
+    prefix = cut_lineage(ranked.where(F.col("left") >= F.ceil(similarity * F.col("size") - 1e-9)).select(
+        "item", "node", "root", "size", "left", split.alias("s"), F.pmod(F.xxhash64("node"), split).cast("int").alias("cell")))
+    every = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
+    side = lambda rows, name, own_, all_: rows.select(
+        "item", F.struct("node", "root", "size", "left").alias(name), F.col("cell").alias(own_), every.alias(all_))
+    small = side(prefix.where(F.col("left") >= F.ceil(equal * F.col("size") - 1e-9)), "x", "ca", "cb")
+    met = small.join(side(prefix, "y", "cb", "ca"), ["item", "ca", "cb"]).where(
+        (F.col("x.root") != F.col("y.root")) & (F.struct("x.size", "x.node") < F.struct("y.size", "y.node"))
+        & (F.col("x.size") >= similarity * F.col("y.size") - 1e-9)
+        & (F.least("x.left", "y.left") >= equal / 2 * (F.col("x.size") + F.col("y.size")) - 1e-9))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs whose texts have the similarity; ``texts`` is (node, text) with one row per node."""
     def run(batches):
@@ -107,14 +159,20 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     marks = cut_lineage(signatures(docs, width))
     nodes = cut_lineage(marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("minima").alias("minima")))
     pairs = cut_lineage(candidates(nodes.where("size > 0"), similarity))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one text of each node in a pair: by the id and hash of one of its rows
-    chosen = marks.join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("r"))
-    chosen = chosen.select("node", F.col("r.doc_id").alias("id__"), F.col("r.raw").alias("raw__"))
-    text = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
-    texts = cut_lineage(text.join(chosen, text.doc_id.eqNullSafe(chosen["id__"]) & (text.raw == chosen["raw__"]))
-                        .groupBy("node").agg(F.first("text").alias("text")))
-    roots = components(verified(pairs, texts, width, similarity))
+
+    def texts_of(wanted):
+        # one text of each node: by the id and hash of one of its rows
+        chosen = marks.join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("r"))
+        chosen = chosen.select("node", F.col("r.doc_id").alias("id__"), F.col("r.raw").alias("raw__"))
+        text = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
+        return cut_lineage(text.join(chosen, text.doc_id.eqNullSafe(chosen["id__"]) & (text.raw == chosen["raw__"]))
+                           .groupBy("node").agg(F.first("text").alias("text")))
+    roots = components(verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), width, similarity))
+    crowd = crowded(nodes.where("size > 0"), roots)
+    if not crowd.isEmpty():
+        texts = texts_of(crowd.select("node"))
+        more = verified(cut_lineage(across(texts.join(crowd, "node"), width, similarity)), texts, width, similarity)
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     grouped = marks.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "raw")
     stays = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("r"))
     times = grouped.groupBy("doc_id", "raw").agg(F.count("*").alias("times__"))

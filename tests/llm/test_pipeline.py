@@ -61,3 +61,20 @@ def test_stages(spark):
     whole = corpus_pipeline.run(spark, sf)
     narrow = lambda f: sorted(map(tuple, f.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert narrow(direct) == narrow(whole) and {r.doc_id for r in whole.select("doc_id").distinct().collect()} == {r.doc_id for r in d.collect()}
+
+
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    """Unrelated texts share 80 % of their shingles, so their minima and fingerprints crowd; near-copies among them still go."""
+    some = random.Random(5)
+    words = lambda n: [f"v{some.randrange(10**9)}" for _ in range(n)]
+    passage, texts = words(400), []
+    for i in range(300):
+        own = words(90)
+        texts.append(" ".join(passage + own))
+        if i % 6 == 0:
+            texts.append(" ".join(passage + own[:50] + words(40)))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    roots = roots_of(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    rows = [(i, t, "en", "s", len(t), None, None) for i, t in enumerate(texts)]
+    kept = neartext.one_of_each(docs(spark, rows)).collect()
+    assert len(set(roots.values())) == 300 and sorted(r.doc_id for r in kept) == sorted(set(roots.values()))
