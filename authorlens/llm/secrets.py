@@ -111,7 +111,7 @@ def find(text: str | None) -> list[Span]:
     """All spans by start, then kind. A null text is empty. Named literals inside a base span are not repeated."""
     data = (text or "").encode("utf-8", "surrogatepass")
     base = base_spans(data)
-    extra = [("named", a, b, s) for a, b, s in named_spans(data) if not any(x < b and a < y for _, x, y in base)]
+    extra = [("named", a, b, s) for a, b, s in named_spans(data) if not any(x <= a and b <= y for _, x, y in base)]
     spans = [(k, a, b, 1.0) for k, a, b in base] + extra
     if not spans:
         return []

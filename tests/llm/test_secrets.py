@@ -45,6 +45,16 @@ def test_named(text):
     assert [text[s.start:s.end] for s in secrets.find(text) if s.kind == "named"] == NAMED[text]
 
 
+def test_a_literal_that_runs_past_a_base_match(spark):
+    for text, secret in (("password = \"Sunshine12$Rest!of#it\"", "Sunshine12$Rest!of#it"), (f"private_key = '{'0af9' * 8}XyZ!77'", "0af9" * 8 + "XyZ!77")):
+        found = secrets.find(text)
+        assert [text[s.start:s.end] for s in found if s.kind == "named"] == [secret] and len(found) == 2
+        assert not any(part in secrets.redact(text) for part in ("Rest", "XyZ"))
+        row = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert row.n_named == 1 and f"named:{text.index(secret)}:{text.index(secret) + len(secret)}" in row.spans
+    assert [s.kind for s in secrets.find("password = 'abcdefgh12'")] == ["assign"]  # wholly inside: not repeated
+
+
 def test_redact():
     assert secrets.redact("é token = 'abcdefgh1' and") == "é [SECRET]' and"
     assert secrets.redact(None) is None and secrets.redact("plain") == "plain"
