@@ -39,8 +39,8 @@ LEAST_LITERAL = 8
 
 QUOTED = rb"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
 PAIR = re.compile(
-    rb"(?<![A-Za-z0-9_.-])[\"']?([A-Za-z_][A-Za-z0-9_.-]{0,80}+)[\"']?[\x20\t]*+(?::=|=>|[=:](?!=))[\x20\t]*+"
-    rb"((?:" + QUOTED + rb")(?:[\x20\t]*+[+.][\x20\t]*+(?:" + QUOTED + rb"))*+|[A-Za-z0-9+/_.=\-]{1,512}+)")
+    rb"(?<![A-Za-z0-9_.-])[\"']?([A-Za-z_][A-Za-z0-9_.-]*+)[\"']?[\x20\t]*+(?::=|=>|[=:](?!=))[\x20\t]*+"
+    rb"((?:" + QUOTED + rb")(?:[\x20\t]*+[+.][\x20\t]*+(?:" + QUOTED + rb"))*+|[A-Za-z0-9+/_.=\-]++)")
 PART = re.compile(rb"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 PIECE = re.compile(QUOTED)
 IDENTIFIER = re.compile(rb"[A-Za-z_][A-Za-z0-9_.]*")

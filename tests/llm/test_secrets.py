@@ -55,6 +55,14 @@ def test_a_literal_that_runs_past_a_base_match(spark):
     assert [s.kind for s in secrets.find("password = 'abcdefgh12'")] == ["assign"]  # wholly inside: not repeated
 
 
+@pytest.mark.parametrize("name, size", [("private_key", 4_000), ("credential", 513), ("app." * 40 + "pwd", 20), ("LONG_" * 30 + "CREDENTIAL", 600)])
+def test_long_literals_and_names(name, size):
+    literal = ("aB3+dE6/gH9" * size)[:size]
+    text = f"{name}={literal} end"
+    assert [text[s.start:s.end] for s in secrets.find(text)] == [literal]
+    assert secrets.redact(text) == f"{name}=[SECRET] end"
+
+
 def test_redact():
     assert secrets.redact("é token = 'abcdefgh1' and") == "é [SECRET]' and"
     assert secrets.redact(None) is None and secrets.redact("plain") == "plain"
