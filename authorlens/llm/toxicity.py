@@ -6,14 +6,15 @@ get a weight and a short vector; the products of the vectors of all pairs of ter
 give what a pair means beyond its parts (an insult next to a group).  All pairs cost no more
 than the terms: half the square of the sum less the sum of squares.
 
-The machine is fitted with AdaGrad on a bounded sample of labelled rows; scoring is row by row.
+The machine is fitted with AdaGrad on a bounded sample of labelled rows, and its bias then set
+back to the shares of the classes among all labelled rows; scoring is row by row.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -125,8 +126,9 @@ def fit(places: dict[int, int], rows: list[np.ndarray], labels: np.ndarray, seed
     return Machine(float(bias), places, w, v)
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of about SAMPLE_ROWS labelled documents of each class that are not held out.
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(toxic, text) of about SAMPLE_ROWS labelled documents of each class that are not held out, and the log odds to add to
+    what is fitted on them: the sample has toxic over clean rows by the ratio of the two shares drawn too often.
 
     The draw compares a hash of the id with the share wanted, so it needs no sorting, and what
     is broadcast are the ids drawn: twice SAMPLE_ROWS by that bound.  Texts are not shuffled
@@ -135,10 +137,12 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in toxic.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE_ROWS / there.get(1, 1))).otherwise(min(1.0, SAMPLE_ROWS / there.get(0, 1)))
+    clean_share, toxic_share = (min(1.0, SAMPLE_ROWS / there.get(k, 1)) for k in (0, 1))
+    share = F.when(F.col("toxic") == 1, toxic_share).otherwise(clean_share)
     drawn = toxic.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    return cut_lineage(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
+    rows = cut_lineage(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
+    return rows, float(np.log(clean_share / toxic_share))
 
 
 def _counted(batches):
@@ -170,7 +174,7 @@ def _ratio(a: Column, b: Column, na: Column, nb: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """Choose terms and fit on the sample; the driver gets TERMS terms and the sample's rows as numbers of those terms."""
-    rows = sampled(docs, labels)
+    rows, shift = sampled(docs, labels)
     counts = (rows.mapInArrow(_counted, "term long, clean long, toxic long").groupBy("term")
               .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -186,7 +190,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([reader.terms(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())],
                                              ["toxic", "terms"])
     picked = sorted((r["toxic"], bytes(r["terms"])) for r in rows.mapInArrow(run, "toxic int, terms binary").collect())
-    return fit(places, [np.frombuffer(t, "<u4") for _, t in picked], np.array([k for k, _ in picked], float))
+    machine = fit(places, [np.frombuffer(t, "<u4") for _, t in picked], np.array([k for k, _ in picked], float))
+    return replace(machine, bias=machine.bias + shift)
 
 
 def probabilities(machine: Machine, reader: Reader, texts: list[str | None]) -> np.ndarray:

@@ -25,6 +25,25 @@ def test_an_interaction_is_learned():
     assert (toxicity.probability(toxicity.raw_scores(m, rows[:4])) >= 0.5).tolist() == [True, False, False, False]
 
 
+def test_a_smaller_sample_moves_no_scores(spark, monkeypatch):
+    """Labels that no term tells surely: what the machine believes must not hang on how many clean rows were drawn."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(4000):
+        toxic = int(rng.random() < 0.1)
+        some = rng.choice(200, 12, replace=False)
+        rows.append((i, " ".join(f"w{k}" for k in some) + (" bad" if rng.random() < (0.7 if toxic else 0.15) else ""), toxic))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    clean = {i for i, _, t in rows if not t}
+    seen = []
+    for size in (4000, 300):
+        monkeypatch.setattr(toxicity, "SAMPLE_ROWS", size)
+        got = toxicity.digest(d, labels).collect()
+        seen.append((np.mean([r.score for r in got]), sum(r.predicted for r in got if r.doc_id in clean) / len(clean)))
+    assert abs(seen[0][0] - seen[1][0]) < 0.04 and abs(seen[0][1] - seen[1][1]) < 0.04, seen
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1, 1), (4, 1, 0), (None, 1, 1), (6, None, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0), labels.where("toxic = 0")):
