@@ -29,10 +29,14 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return dealt(d.unionByName(p))
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality 0 plays the machine-made class."""
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("label"))
+
+
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents: quality 0 plays the machine-made class."""
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("label"))
-    return documents(spark, sf).join(labels, "id")
+    """Labelled documents."""
+    return documents(spark, sf).join(labels(spark, sf), "id")
 
 
 def probability(code, modulus: int = 1009):

@@ -246,7 +246,7 @@ _CM = (f"(SELECT count(*) FILTER (WHERE p <= 0.5 AND y_true <> 1)::DOUBLE AS tn,
 def analysis(spark, sf):
     """The whole analysis of every document: real features with perplexity, a model fitted here, reasons and marked lines."""
     d = with_perplexity(I.documents(spark, sf, busy=True))
-    labelled = d.select("id", "code", "source", "_ppl").join(I.samples(spark, sf).select("id", "label"), "id").withColumn("language", F.lit("python"))
+    labelled = d.select("id", "code", "source", "_ppl").join(I.labels(spark, sf), "id").withColumn("language", F.lit("python"))
     data = cut_lineage(extract_features(labelled, F.col("_ppl"), keep=["id", "label", "source"]).drop("error"))
     model = training.train(data, SMALL_FOREST, validate=False)
     out = analyze(d, model, model.threshold, perplexity=F.col("_ppl"))

@@ -66,8 +66,13 @@ def bigram_model(df: DataFrame, max_tokens: int | None = None) -> DataFrame:
 
 
 def with_perplexity(df: DataFrame, name: str = "_ppl", model: DataFrame | None = None) -> DataFrame:
-    """``df`` with the perplexity of each text as a column, for ``extract_features`` and ``analyze``."""
-    return df.join(bigram_perplexity(df.select("id", "code"), model=model).select("id", F.col("perplexity").alias(name)), "id")
+    """``df`` with the perplexity of each text as a column, for ``extract_features`` and ``analyze``.
+
+    Rows are joined by a key of their own, written once, so null and repeated ids neither vanish nor multiply.
+    """
+    df = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    scored = bigram_perplexity(df.select(F.col("_row").alias("id"), "code"), model=model)
+    return df.join(scored.select(F.col("id").alias("_row"), F.col("perplexity").alias(name)), "_row").drop("_row")
 
 
 def bigram_perplexity(df: DataFrame, max_tokens: int | None = None, model: DataFrame | None = None) -> DataFrame:

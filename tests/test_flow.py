@@ -130,6 +130,25 @@ def test_feature_csv_roundtrip(spark, tmp_path):
     assert a == sorted(round(r.token_entropy, 6) for r in back.collect())
 
 
+def test_perplexity_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a b a b"), (1, "a b c"), (1, "x y x y z"), (1, "a b c"), (None, "x"), (2, "")]
+    df = spark.createDataFrame(rows, "id int, code string")
+    alone = perplexity.bigram_perplexity(spark.createDataFrame([(i, c) for i, (_, c) in enumerate(rows)], "id int, code string")).collect()
+    want = sorted((str(rows[r.id][0]), rows[r.id][1], round(r.perplexity, 9)) for r in alone)
+    got = perplexity.with_perplexity(df)
+    assert got.columns == ["id", "code", "_ppl"]
+    assert sorted((str(r.id), r.code, round(r._ppl, 9)) for r in got.collect()) == want
+
+    from authorlens.catalog import result_queries, text_queries
+    code = "def f(x):\n    y = x + 1\n    z = y * 2\n    w = z - y\n    return w\n"
+    table = [(i, code + f"v{n} = {n}\n", "s", "en") for n, i in enumerate([None, None, 7, 7, 7, *range(20, 60)])]
+    spark.createDataFrame(table, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in [7, *range(20, 60)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (text_queries.feature_table, result_queries.analysis):
+        out = [r.id for r in query(spark, str(tmp_path)).collect()]
+        assert len(out) == len(table) and out.count(None) == 2 and out.count(7) == 3
+
+
 def test_perplexity(spark):
     import math
     from collections import Counter
