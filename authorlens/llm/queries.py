@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from authorlens.llm import decontam, langid, metricjoin, packing, pii, secrets, shards, simhash, tokens, toxicity
+from authorlens.llm import (clusters, decontam, langid, metricjoin, packing, pii, resampling, secrets, shards, simhash, tokens,
+                            toxicity)
 from authorlens.llm.tables import documents, table
 
 
@@ -49,6 +50,14 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.digest(documents(spark, sf, "doc_id", "text"), table(spark, sf, "labels"))
 
 
+def op12_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf, "doc_id", "text"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_pii": op2_pii,
@@ -60,8 +69,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_clusters": op12_clusters,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE = {
     "op2_pii": pii.oracle(),
+    "op12_clusters": clusters.oracle(),
+    "op13_resampling": resampling.oracle(),
 }
