@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from authorlens.llm import (clusters, decontam, langid, metricjoin, packing, pii, resampling, secrets, shards, simhash, tokens,
+from authorlens.llm import (clusters, decontam, langid, metricjoin, packing, pii, repeats, resampling, secrets, shards, simhash, tokens,
                             toxicity)
 from authorlens.llm.tables import documents, table
 
@@ -50,6 +50,10 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.digest(documents(spark, sf, "doc_id", "text"), table(spark, sf, "labels"))
 
 
+def op11_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.digest(documents(spark, sf, "doc_id", "text"))
+
+
 def op12_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.clustered(table(spark, sf, "embeddings"))
 
@@ -69,12 +73,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_repeats": op11_repeats,
     "op12_clusters": op12_clusters,
     "op13_resampling": op13_resampling,
 }
 
 ORACLE = {
     "op2_pii": pii.oracle(),
+    "op11_repeats": repeats.oracle(),
     "op12_clusters": clusters.oracle(),
     "op13_resampling": resampling.oracle(),
 }
