@@ -479,9 +479,10 @@ def oracle() -> str:
     """The same in SQL: every window with its place, those that are not the first of their words, the words they cover."""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-windows AS (SELECT n, doc_id, unnest(range(1, len(w) - {WIDTH - 2})) AS i, w FROM d WHERE len(w) >= {WIDTH}),
-placed AS (SELECT n, i, first_value((doc_id, i)) OVER (PARTITION BY md5(array_to_string(w[i:i + {WIDTH - 1}], ' ')) ORDER BY doc_id, i) < (doc_id, i) AS again
-    FROM windows),
+hashed AS (SELECT n, doc_id, list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: md5(array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS h
+    FROM d WHERE len(w) >= {WIDTH}),
+windows AS (SELECT n, doc_id, unnest(h) AS h, generate_subscripts(h, 1) AS i FROM hashed),
+placed AS (SELECT n, i, first_value((doc_id, i)) OVER (PARTITION BY h ORDER BY doc_id, i) < (doc_id, i) AS again FROM windows),
 flat AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 marked AS (SELECT n, i, word, coalesce(i - max(CASE WHEN again THEN i END) OVER (PARTITION BY n ORDER BY i) < {WIDTH}, false) AS gone
     FROM flat LEFT JOIN placed USING (n, i)),
