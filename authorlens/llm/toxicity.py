@@ -1,13 +1,16 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words and their beginnings; the latter catch stems that take many endings.  Those
-that tell the classes apart (log-likelihood ratio over the labelled sample, counted by Spark)
-get a weight and a short vector; the products of the vectors of all pairs of terms in a text
-give what a pair means beyond its parts (an insult next to a group).  All pairs cost no more
-than the terms: half the square of the sum less the sum of squares.
-
-The machine is fitted with AdaGrad on a bounded sample of labelled rows, and its bias then set
-back to the shares of the classes among all labelled rows; scoring is row by row.
+Terms are words and their beginnings; the latter catch stems that take many endings.  Every term
+of at least ``LEAST_TEXTS`` labelled texts has a place in a table of hashes, with a weight and a
+short vector; the products of the vectors of all pairs of terms in a text give what a pair means
+beyond its parts (an insult next to a group).  All pairs cost no more than the terms: half the
+square of the sum less the sum of squares.
+
+The machine is fitted on a bounded sample of labelled rows, with AdaGrad.  First come the weights
+of terms whose classes differ by more than chance (log-likelihood ratio).  Then the vectors of all
+terms, common or rare, learn what these weights leave unexplained; a vector shrinks a little
+whenever it is met, so those that no pair needs end at zero and leave the machine.  At last the
+bias is set back to the shares of the classes among all labelled rows; scoring is row by row.
 """
 
 from __future__ import annotations
@@ -24,17 +27,15 @@ from authorlens.llm.tables import held_out
 from authorlens.llm.tokens import Memo
 from authorlens.session import cut_lineage
 
-#: Bounds of the fit: labelled rows of each class, drawn by a hash of id and text, and terms of the machine.
+#: Bound of the fit: labelled rows of each class, drawn by a hash of the id.
 SAMPLE_ROWS = 4_000
-TERMS = 4_096
-#: A term must be in so many labelled texts, and its likelihood ratio reach this value.
+TABLE_BITS = 24  # places of the hash table; a term's place is the end of its CRC-32
 LEAST_TEXTS = 3
+#: From this likelihood ratio on a term gets a weight; vectors are for all terms.
 LEAST_RATIO = 12.0
 FACTORS = 4
-EPOCHS = 20
-BATCH = 64
-RATE = 0.2
-DECAY = 1e-4
+EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.2, 1e-4
+FACTOR_EPOCHS, FACTOR_RATE, FACTOR_SHRINK, FACTOR_START = 8, 0.5, 0.03, 0.1
 PREFIXES = (4, 5, 6, 7)
 REMEMBERED = 80_000  # words
 WORD = re.compile(r"[^\W_]+")
@@ -43,15 +44,15 @@ WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Machine:
     bias: float
-    places: dict[int, int]  # hash of a term: its row
+    places: dict[int, int]  # place of a term in the table: its row
     weights: np.ndarray
     factors: np.ndarray
 
 
 def word_hashes(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings."""
+    """Places of a word and of its beginnings."""
     names = {"w" + word, *("p" + word[:n] for n in PREFIXES if len(word) >= n)}
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << TABLE_BITS) - 1) for n in names]
 
 
 def words(text: str | None) -> set[str]:
@@ -67,23 +68,24 @@ class Reader:
     def word(self, word: str) -> bytes:
         return np.array([self.places[h] for h in word_hashes(word) if h in self.places], "<u4").tobytes()
 
-    def terms(self, text: str | None) -> np.ndarray:
-        """Distinct terms of a whole text; none for a null or wordless one."""
-        return np.unique(np.frombuffer(b"".join(map(self.memo.__getitem__, words(text))), "<u4"))
+    def terms(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Distinct terms of a whole text, none for a null or wordless one, and the number of its distinct words."""
+        found = words(text)
+        return np.unique(np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4")), len(found)
 
 
-def raw_scores(machine: Machine, rows: list[np.ndarray]) -> np.ndarray:
-    """Log odds of texts given by their terms; interactions are averaged over a text's terms."""
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+def raw_scores(machine: Machine, rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Log odds of texts given by their terms and words; interactions are averaged over a text's words."""
+    sizes = np.fromiter((len(r) for r, _ in rows), np.int64, len(rows))
     full = np.flatnonzero(sizes)
     out = np.full(len(rows), machine.bias)
     if len(full):
-        flat = np.concatenate(rows)
+        flat = np.concatenate([r for r, _ in rows])
         at = (np.cumsum(sizes) - sizes)[full]
         v = machine.factors[flat]
         total, squares = np.add.reduceat(v, at, axis=0), np.add.reduceat(v * v, at, axis=0)
-        pairs = 0.5 * (total * total - squares).sum(1) / sizes[full]
-        out[full] += np.add.reduceat(machine.weights[flat], at) + pairs
+        many = np.fromiter((n for _, n in rows), np.int64, len(rows))[full]
+        out[full] += np.add.reduceat(machine.weights[flat], at) + 0.5 * (total * total - squares).sum(1) / many
     return out
 
 
@@ -91,39 +93,57 @@ def probability(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(places: dict[int, int], rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """AdaGrad over shuffled batches.  Without both classes, every score is their smoothed share."""
+def fit(places: dict[int, int], rows: list[tuple[np.ndarray, int]], labels: np.ndarray, telling: np.ndarray, seed: int = 7) -> Machine:
+    """Weights of the telling terms, then vectors of all.  Without both classes, every score is their smoothed share."""
     rng = np.random.default_rng(seed)
     n = len(places)
-    w, v, bias = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS)), 0.0
+    w, v, bias = np.zeros(n), np.zeros((n, FACTORS)), 0.0
     if not 0 < labels.sum() < len(labels):
         share = (labels.sum() + 0.5) / (len(labels) + 1)
-        return Machine(float(np.log(share / (1 - share))) - 1e-9, places, w, np.zeros_like(v))
-    sw, sv, sb = np.full(n, 1e-6), np.full_like(v, 1e-6), 1e-6
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(order), BATCH):
-            part = order[lo:lo + BATCH]
-            batch = [rows[i] for i in part]
-            error = (probability(raw_scores(Machine(bias, places, w, v), batch)) - labels[part]) / len(part)
-            sb += error.sum() ** 2
-            bias -= RATE * error.sum() / np.sqrt(sb)
-            sizes = np.fromiter(map(len, batch), np.int64, len(batch))
-            flat = np.concatenate(batch)
-            if not len(flat):
-                continue
-            owner = np.repeat(np.arange(len(batch)), sizes)
-            total = np.zeros((len(batch), FACTORS))
-            np.add.at(total, owner, v[flat])
-            used, where = np.unique(flat, return_inverse=True)
+        return Machine(float(np.log(share / (1 - share))) - 1e-9, {}, w[:0], v[:0])
+    sw, sb = np.full(n, 1e-6), 1e-6
+    few = [(r[telling[r]], many) for r, many in rows]
+    for part, batch, (used, where, owner) in _batches(few, EPOCHS, rng):
+        error = (probability(raw_scores(Machine(bias, places, w, v), batch)) - labels[part]) / len(part)
+        sb += error.sum() ** 2
+        bias -= RATE * error.sum() / np.sqrt(sb)
+        if len(used):
             gw = np.bincount(where, error[owner], len(used)) + DECAY * w[used]
-            scale = (error / np.maximum(1, sizes))[owner]
-            gv = np.stack([np.bincount(where, scale * (total[owner, f] - v[flat, f]), len(used)) for f in range(FACTORS)], 1) + DECAY * v[used]
             sw[used] += gw * gw
-            sv[used] += gv * gv
             w[used] -= RATE * gw / np.sqrt(sw[used])
-            v[used] -= 0.1 * RATE * gv / np.sqrt(sv[used])
-    return Machine(float(bias), places, w, v)
+    v, sv = rng.normal(0, FACTOR_START, (n, FACTORS)), np.ones((n, FACTORS))
+    for part, batch, (used, where, owner) in _batches(rows, FACTOR_EPOCHS, rng):
+        if not len(used):
+            continue
+        error = probability(raw_scores(Machine(bias, places, w, v), batch)) - labels[part]
+        own = v[used][where]
+        total = np.stack([np.bincount(owner, own[:, f], len(batch)) for f in range(FACTORS)], 1)
+        scale = (error / np.maximum(1, [many for _, many in batch]))[owner]
+        gv = np.stack([np.bincount(where, scale * (total[owner, f] - own[:, f]), len(used)) for f in range(FACTORS)], 1)
+        sv[used] += gv * gv
+        new = v[used] - FACTOR_RATE * gv / np.sqrt(sv[used])
+        v[used] = new * np.maximum(0, 1 - FACTOR_SHRINK / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12))
+    met = np.bincount(np.concatenate([r for r, _ in rows]), minlength=n) > 0
+    kept = np.flatnonzero(met & ((w != 0) | v.any(1)))
+    row = {int(k): i for i, k in enumerate(kept)}
+    return Machine(float(bias), {place: row[k] for place, k in places.items() if k in row}, w[kept], v[kept])
+
+
+def _batches(rows: list, epochs: int, rng: np.random.Generator):
+    """Every epoch the same batches in another order: (numbers of the rows, rows, what ``_used`` says of them)."""
+    order = rng.permutation(len(rows))
+    parts = [order[lo:lo + BATCH] for lo in range(0, len(order), BATCH)]
+    batches = [(part, (batch := [rows[i] for i in part]), _used(batch)) for part in parts]
+    for _ in range(epochs):
+        for i in rng.permutation(len(batches)):
+            yield batches[i]
+
+
+def _used(batch: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct terms of the batch, each occurrence's number among them, its text)."""
+    owner = np.repeat(np.arange(len(batch)), [len(r) for r, _ in batch])
+    used, where = np.unique(np.concatenate([r for r, _ in batch]), return_inverse=True)
+    return used, where, owner
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
@@ -173,24 +193,26 @@ def _ratio(a: Column, b: Column, na: Column, nb: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Choose terms and fit on the sample; the driver gets TERMS terms and the sample's rows as numbers of those terms."""
+    """Count terms and fit on the sample; the driver gets the sample's terms and its rows as numbers of those terms."""
     rows, shift = sampled(docs, labels)
     counts = (rows.mapInArrow(_counted, "term long, clean long, toxic long").groupBy("term")
               .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n = [F.lit(float(sizes.get(k, 0) + 1)) for k in (0, 1)]
-    best = (counts.select("term", _ratio(F.col("toxic"), F.col("clean"), n[1], n[0]).alias("ratio"))
-            .where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
-    places = {r["term"]: i for i, r in enumerate(sorted(best, key=lambda r: r["term"]))}
+    found = counts.select("term", (_ratio(F.col("toxic"), F.col("clean"), n[1], n[0]) >= LEAST_RATIO).alias("telling")).collect()
+    found.sort(key=lambda r: r["term"])
+    places = {r["term"]: i for i, r in enumerate(found)}
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches):
         reader = Reader(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([reader.terms(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())],
-                                             ["toxic", "terms"])
-    picked = sorted((r["toxic"], bytes(r["terms"])) for r in rows.mapInArrow(run, "toxic int, terms binary").collect())
-    machine = fit(places, [np.frombuffer(t, "<u4") for _, t in picked], np.array([k for k, _ in picked], float))
+            terms = [reader.terms(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tobytes() for t, _ in terms], pa.binary()), pa.array([m for _, m in terms], pa.int64())],
+                                             ["toxic", "terms", "words"])
+    picked = sorted((r["toxic"], bytes(r["terms"]), r["words"]) for r in rows.mapInArrow(run, "toxic int, terms binary, words long").collect())
+    machine = fit(places, [(np.frombuffer(t, "<u4"), m) for _, t, m in picked], np.array([k for k, _, _ in picked], float),
+                  np.array([r["telling"] for r in found], bool))
     return replace(machine, bias=machine.bias + shift)
 
 

@@ -1,28 +1,40 @@
 """The machine against all pairs of terms, what interactions add, and held-out documents."""
 
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
 import pytest
 
 from authorlens.llm import toxicity
+from authorlens.llm.tables import held_out
 from tests.llm.odd import docs, none
 
 
 def test_pairs_cost_is_exact():
     rng = np.random.default_rng(1)
     m = toxicity.Machine(0.3, {}, rng.normal(size=9), rng.normal(size=(9, 4)))
-    rows = [np.array(r, np.uint32) for r in ([], [3], [0, 4, 8], list(range(9)))]
-    want = [0.3 + sum(m.weights[i] for i in r) + sum(m.factors[i] @ m.factors[j] for i in r for j in r if i < j) / max(1, len(r)) for r in rows]
+    rows = [(np.array(r, np.uint32), n) for r, n in (([], 0), ([3], 5), ([0, 4, 8], 3), (list(range(9)), 40))]
+    want = [0.3 + sum(m.weights[i] for i in r) + sum(m.factors[i] @ m.factors[j] for i in r for j in r if i < j) / max(1, n) for r, n in rows]
     assert np.allclose(toxicity.raw_scores(m, rows), want)
 
 
-def test_an_interaction_is_learned():
-    """Two terms that are toxic only together: no linear weights can say so."""
-    rows = [np.array(r, np.uint32) for r in ([0, 1], [0], [1], []) * 200]
-    labels = np.array([1.0, 0, 0, 0] * 200)
-    m = toxicity.fit({0: 0, 1: 1}, rows, labels)
-    assert (toxicity.probability(toxicity.raw_scores(m, rows[:4])) >= 0.5).tolist() == [True, False, False, False]
+def test_pairs_of_common_words_are_learned(spark):
+    """Every document has an insult or not, and names a group or not, as often in both classes: only which go together tells."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(5000):
+        insult, group = rng.random(2) < 0.5
+        noise = [f"w{k}" for k in rng.choice(400, 20, replace=False)]
+        rows.append((i, " ".join(rng.permutation(noise + ["fool" if insult else "friend", "them" if group else "us"])), int(insult == group)))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    machine = toxicity.learn(d, labels)
+    linear = replace(machine, factors=np.zeros_like(machine.factors))
+    truth = {i: t for i, _, t in rows}
+    right = [np.mean([r.predicted == truth[r.doc_id] for r in toxicity.score(d, m).where(held_out()).collect()]) for m in (machine, linear)]
+    assert right[0] >= 0.95 and right[1] <= 0.6, right
+    assert len(machine.places) < 100  # vectors that no pair needs have left
 
 
 def test_a_smaller_sample_moves_no_scores(spark, monkeypatch):
