@@ -209,4 +209,4 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row; repeated rows stay rows."""
     rows = assigned(sized(docs), shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
     return numbered(rows, "shard", ["doc_id", "text_crc32"], "slot").select(
-        "doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

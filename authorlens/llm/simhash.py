@@ -61,13 +61,19 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): one row per document; a null or blank text has fingerprint 0."""
+    """(doc_id, fp long, text_sha): one row per document; a null or blank text has fingerprint 0."""
     def run(batches):
         for b in batches:
             values = [majority_bits(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), b.column(2)], ["doc_id", "fp", "text_sha"])
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_sha(text_col)).mapInArrow(
+        run, f"doc_id {kind}, fp long, text_sha binary")
+
+
+def text_sha(text_col: str = "text") -> Column:
+    """What tells rows of one id apart; null where the text is."""
+    return F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)).alias("text_sha")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -141,8 +147,8 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
 def groups(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """Component of each document.
 
-    ``prints`` has (doc_id, fp); returns (doc_id, fp, component_id), ``component_id`` being the
-    smallest doc_id reachable.  A null doc_id is grouped too and never is a component's name
+    ``prints`` has doc_id, fp and any other columns; returns them with ``root``, which names the component, and
+    ``component_id``, the smallest doc_id reachable.  A null doc_id is grouped too and never is a component's name
     unless all its documents are without id.  Repeated rows stay rows.  An empty table gives none.
     """
     prints = cut_lineage(prints)
@@ -150,10 +156,28 @@ def groups(prints: DataFrame, hot: int = HOT) -> DataFrame:
     roots = components(cut_lineage(links(nodes, hot)))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named.join(names, "root").select("fp", "root", "component_id"), "fp").select(*prints.columns, "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component the row of smallest doc_id stays.
+
+    A null doc_id comes last, rows of one id in the order of a hash of their texts, and of wholly repeated rows one stays.
+    All null, empty and blank texts have fingerprint 0 and are one component.
+    """
+    found = groups(fingerprints(docs, width), hot)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha")).alias("r")
+    stays = found.groupBy("root").agg(first).select(F.col("r.doc_id").alias("id__"), F.col("r.text_sha").alias("sha__"))
+    times = found.groupBy("doc_id", "text_sha").agg(F.count("*").alias("times__"))
+    stays = cut_lineage(stays.join(times, stays["id__"].eqNullSafe(times["doc_id"]) & stays["sha__"].eqNullSafe(times["text_sha"]))
+                        .select("id__", "sha__", "times__"))
+    marked = docs.withColumn("sha_of__", text_sha())
+    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["id__"]) & marked["sha_of__"].eqNullSafe(stays["sha__"]))
+    once, often = kept.where("times__ = 1"), kept.where("times__ > 1").dropDuplicates(["doc_id", "sha_of__"])
+    return once.unionByName(often).select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, hot: int = HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per document."""
-    found = groups(fingerprints(docs, width), hot)
+    found = groups(fingerprints(docs, width).drop("text_sha"), hot)
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
