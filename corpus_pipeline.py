@@ -1,4 +1,8 @@
-"""A training corpus from documents: five stages, each one of the operators of ``authorlens.llm``."""
+"""A training corpus from documents: five stages, each one of the operators of ``authorlens.llm``.
+
+Every stage takes the columns of documents, in any order and with others beside them, which ``run`` leaves out.  A null text is
+empty to all of them and stays null if its document stays; ids may be null or repeated; an empty table gives one.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +11,40 @@ from uuid import uuid4
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from authorlens.llm import decontam, neartext, packing, secrets, toxicity
+from authorlens.llm import decontam, packing, secrets, simhash, toxicity
 from authorlens.llm.tables import documents, table
 from authorlens.session import checkpoint_dir
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine rejects go; it learns from labels of documents that are not held out."""
+    """Documents that the factorization machine rejects go; it learns from labels of documents that are not held out.
+
+    Rows are judged one by one, repeated ones alike; without labels of both classes none goes unless all labels are toxic.
+    """
     return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked at 0.8 over five-word shingles, the document of smallest id stays."""
-    return neartext.one_of_each(docs)
+    """Of each group of texts whose SimHash fingerprints of three-word shingles link at two bits or fewer, the document of smallest id stays.
+
+    So of all null, empty and blank texts one stays, and of repeated rows one.
+    """
+    return simhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go; null and empty texts and items hold and are none."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars follows."""
+    """Secrets in texts are replaced by a mark; n_chars follows, and stays null where it is."""
     out = secrets.redacted(docs.withColumn("chars__", F.length("text")))
     return out.withColumn("n_chars", F.col("n_chars") + F.coalesce(F.length("text") - F.col("chars__"), F.lit(0))).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents packed into sequences."""
+    """Pieces of documents packed into sequences; a null or empty text is its end mark alone."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
