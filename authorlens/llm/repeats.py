@@ -132,19 +132,35 @@ def _joined(column, kind) -> np.ndarray:
 
 
 def marks(docs: DataFrame, width: int, id_col: str, text_col: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """(doc_id, text_sha, words_sha, n_words, anchors) of every row."""
+    """(doc_id, text_sha, words_sha, tie, n_words, anchors) of every row; ``tie`` orders texts of one id as their hash does."""
     def run(batches):
         memo = Memo(_code, REMEMBERED)
         for b in batches:
             for lo, words, piece in pieces(b.column(2), width, memo, sizes.chunk):
                 at = np.unique(piece.places[piece.windows])
                 cuts = np.searchsorted(at, np.concatenate(([0], piece.ends)))
-                sha = pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())
+                sha = [hashlib.sha256(b" ".join(w)).digest() for w in words]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, len(words)), b.column(1).slice(lo, len(words)), sha, pa.array(piece.counts),
-                     _binary(piece.grams[at[x:y]] for x, y in zip(cuts, cuts[1:]))], ["doc_id", "text_sha", "words_sha", "n_words", "anchors"])
+                    [b.column(0).slice(lo, len(words)), b.column(1).slice(lo, len(words)), pa.array(sha, pa.binary()), pa.array(map(_tie, sha), pa.int64()),
+                     pa.array(piece.counts), _binary(piece.grams[at[x:y]] for x, y in zip(cuts, cuts[1:]))],
+                    ["doc_id", "text_sha", "words_sha", "tie", "n_words", "anchors"])
     return _keyed(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, text_sha binary, words_sha binary, n_words long, anchors binary")
+        run, "doc_id long, text_sha binary, words_sha binary, tie long, n_words long, anchors binary")
+
+
+def _tie(sha: bytes) -> int:
+    return int.from_bytes(sha[:8], "big") - (1 << 63)
+
+
+def plain_marks(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_sha, words_sha, n_words) of the rows that hold a window."""
+    def run(batches):
+        for b in batches:
+            words = [words_of(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary()),
+                                              pa.array(map(len, words), pa.int64())], ["doc_id", "text_sha", "words_sha", "n_words"])
+    return _keyed(docs, id_col, text_col).mapInArrow(
+        run, "doc_id long, text_sha binary, words_sha binary, n_words long").where(F.col("n_words") >= width)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -177,7 +193,8 @@ def _gathered(batches, columns: list[tuple[str, str]], chunk: int) -> Iterator[t
 def shared_anchors(reps: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """(rep, gram) of anchors that occur at two places at least.
 
-    A task keeps those it holds twice itself, and sends each hash once, without an owner if that is settled.
+    A task keeps those it holds twice itself, and sends each hash once, without its owners if that is settled.  ``rep`` is a hash
+    of the text's words: should two texts share one, each also gets the other's anchors, which only makes more candidates.
     """
     many = reps.agg(F.sum(F.length("anchors") / 8)).first()[0] or 0
     bins = max(1, math.ceil(2 * many / sizes.group))
@@ -196,22 +213,29 @@ def shared_anchors(reps: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     def sent(batches):
         for hashes, owner, n in own(batches):
             first = np.cumsum(n) - n
-            h, o = hashes[first], np.where(n > 1, -1, owner[first])
-            at = ((h >> np.uint64(20)) % np.uint64(bins)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            cuts = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0)))
-            ends = np.append(cuts[1:], len(order))
-            yield pa.RecordBatch.from_arrays([pa.array(at[order][cuts].astype(np.int32)), _binary(h[order][a:z] for a, z in zip(cuts, ends)),
-                                              _binary(o[order][a:z] for a, z in zip(cuts, ends))], ["bin", "hashes", "owners"])
+            h, o = hashes[first][n == 1], owner[first][n == 1]
+            at, settled = _bin(h, bins), hashes[first][n > 1]
+            order = np.lexsort((o, at))  # an owner's hashes of a bin side by side, so that owners are packed once each
+            at, h, o = at[order], h[order], o[order]
+            of_settled = _bin(settled, bins)
+            for k in np.unique(np.concatenate((at, of_settled))).tolist():
+                a, z = np.searchsorted(at, (k, k + 1))
+                owners, many = np.unique(o[a:z], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[_binary([x]) for x in (
+                    h[a:z], owners, many.astype("<i4"), settled[of_settled == k])]], ["bin", "hashes", "owners", "counts", "settled"])
 
     def met(table: pa.Table) -> pa.Table:
-        hashes, owner = _joined(table.column("hashes"), "<u8"), _joined(table.column("owners"), "<i8")
-        _, where, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        found = (n[where] > 1) & (owner >= 0)
-        return pa.table({"rep": owner[found], "gram": hashes[found].view(np.int64)})
+        hashes, owners, counts, settled = (_joined(table.column(c), k) for c, k in (("hashes", "<u8"), ("owners", "<i8"), ("counts", "<i4"), ("settled", "<u8")))
+        _, where, n = np.unique(np.concatenate((hashes, settled)), return_inverse=True, return_counts=True)
+        found = n[where[:len(hashes)]] > 1
+        return pa.table({"rep": np.repeat(owners, counts)[found], "gram": hashes[found].view(np.int64)})
     some = reps.select("rep", "anchors")
     return some.mapInArrow(known, "rep long, gram long").unionByName(
-        some.mapInArrow(sent, "bin int, hashes binary, owners binary").groupBy("bin").applyInArrow(met, "rep long, gram long"))
+        some.mapInArrow(sent, "bin int, hashes binary, owners binary, counts binary, settled binary").groupBy("bin").applyInArrow(met, "rep long, gram long"))
+
+
+def _bin(hashes: np.ndarray, bins: int) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(bins)).astype(np.int64)
 
 
 def segments(texts: DataFrame, width: int, sizes: Sizes = Sizes()) -> DataFrame:
@@ -283,7 +307,7 @@ class Suffixes:
         tree, node = self.nodes()
         first = np.flatnonzero(np.concatenate(([True], np.diff(node) != 0))) if len(self) else node
         at = first[node] if len(self) else node
-        later = (tree.reps != tree.reps[at]) | (tree.starts != tree.starts[at])  # a row that is repeated is not later than itself
+        later = (tree.ids != tree.ids[at]) | (tree.reps != tree.reps[at]) | (tree.starts != tree.starts[at])  # a row that is repeated is not later than itself
         return tree[first], tree[later]
 
 
@@ -354,7 +378,7 @@ def _group(suffixes: Suffixes, frequent: dict[int, dict[bytes, int]], bins: int,
 
 
 def covered(parts: DataFrame, width: int, sizes: Sizes = Sizes()) -> DataFrame:
-    """(reps, starts), packed: windows that also start earlier."""
+    """(ids, reps, starts), packed: windows that also start earlier."""
     frequent, many = long_prefixes(parts, width, sizes)
     bins = max(1, math.ceil(2 * many / sizes.group))
     shared = parts.sparkSession.sparkContext.broadcast(frequent)
@@ -362,7 +386,7 @@ def covered(parts: DataFrame, width: int, sizes: Sizes = Sizes()) -> DataFrame:
 
     def known(batches):
         for _, later in _chunks(batches, width, sizes.chunk):
-            yield pa.RecordBatch.from_arrays([_binary([later.reps]), _binary([later.starts])], ["reps", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in later.packed()[2:]], names[2:])
 
     def sent(batches):
         for firsts, _ in _chunks(batches, width, sizes.chunk):
@@ -377,7 +401,7 @@ def covered(parts: DataFrame, width: int, sizes: Sizes = Sizes()) -> DataFrame:
 
     def tree(table: pa.Table) -> pa.Table:
         firsts, later = Suffixes(width, **{c: _joined(table.column(c), k) for c, k in Suffixes.KINDS.items()}).split()
-        rows = [[None, None, None, *later.packed()[3:]]]
+        rows = [[None, None, *later.packed()[2:]]]
         if table.column("salt")[0].as_py():  # what is first here meets the firsts of the window's other salts
             rows.append(firsts.packed())
         columns = list(zip(*rows))
@@ -389,37 +413,37 @@ def covered(parts: DataFrame, width: int, sizes: Sizes = Sizes()) -> DataFrame:
         out = cut_lineage(out)
         again = out.where("letters is not null").groupBy("bin").applyInArrow(tree, kind)
         out = out.where("letters is null").unionByName(again)
-    return parts.mapInArrow(known, "reps binary, starts binary").unionByName(out.select("reps", "starts"))
+    return parts.mapInArrow(known, "ids binary, reps binary, starts binary").unionByName(out.select(*names[2:]))
 
 
 def merged(windows: DataFrame, width: int, sizes: Sizes = Sizes()) -> DataFrame:
-    """(rep, spans): covered windows of each text merged into spans of words."""
+    """(id, rep, spans): covered windows of each text merged into spans of words."""
     many = windows.agg(F.sum(F.length("starts") / 4)).first()[0] or 0
     bins = max(1, math.ceil(2 * many / sizes.group))
 
     def dealt(batches):
-        for _, packed, _ in _gathered(batches, [("starts", "<i4"), ("reps", "<i8")], sizes.chunk):
-            reps, starts = packed["reps"], packed["starts"]
+        for _, packed, _ in _gathered(batches, [("starts", "<i4"), ("reps", "<i8"), ("ids", "<i8")], sizes.chunk):
+            ids, reps, starts = packed["ids"], packed["reps"], packed["starts"]
             at = ((reps.astype(np.uint64) * ODD) >> np.uint64(33)).astype(np.int64) % bins
-            order = np.lexsort((starts, reps, at))
+            order = np.lexsort((starts, reps, ids, at))
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(at[order]) != 0))) if len(order) else order
             ends = np.append(cuts[1:], len(order))
-            yield pa.RecordBatch.from_arrays([pa.array(at[order][cuts].astype(np.int32)), _binary(reps[order[a:z]] for a, z in zip(cuts, ends)),
-                                              _binary(starts[order[a:z]] for a, z in zip(cuts, ends))], ["bin", "reps", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[order][cuts].astype(np.int32)), *[
+                _binary(x[order[a:z]] for a, z in zip(cuts, ends)) for x in (ids, reps, starts)]], ["bin", "ids", "reps", "starts"])
 
     def spans(table: pa.Table) -> pa.Table:
-        reps, starts = _joined(table.column("reps"), "<i8"), _joined(table.column("starts"), "<i4").astype(np.int64)
-        order = np.lexsort((starts, reps))
-        reps, starts = reps[order], starts[order]
-        new = np.concatenate(([True], np.diff(reps) != 0))
+        ids, reps, starts = (_joined(table.column(c), k) for c, k in (("ids", "<i8"), ("reps", "<i8"), ("starts", "<i4")))
+        order = np.lexsort((starts, reps, ids))
+        ids, reps, starts = ids[order], reps[order], starts[order].astype(np.int64)
+        new = np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(reps) != 0)))
         begin = np.flatnonzero(new | np.concatenate(([True], np.diff(starts) > width)))
         end = starts[np.append(begin[1:], len(starts)) - 1] + width
         own = np.flatnonzero(new[begin])
         offsets = pa.array(np.append(own, len(begin)).astype(np.int32))
         pairs = pa.StructArray.from_arrays([pa.array(starts[begin]), pa.array(end)], ["start", "end"])
-        return pa.table({"rep": pa.array(reps[begin][own]), "spans": pa.ListArray.from_arrays(offsets, pairs)})
-    return (windows.select("starts", "reps").mapInArrow(dealt, "bin int, reps binary, starts binary").groupBy("bin")
-            .applyInArrow(spans, "rep long, spans array<struct<start:long,end:long>>"))
+        return pa.table({"id": pa.array(ids[begin][own]), "rep": pa.array(reps[begin][own]), "spans": pa.ListArray.from_arrays(offsets, pairs)})
+    return (windows.select("starts", "reps", "ids").mapInArrow(dealt, "bin int, ids binary, reps binary, starts binary").groupBy("bin")
+            .applyInArrow(spans, "id long, rep long, spans array<struct<start:long,end:long>>"))
 
 
 # ------------------------------------------------------------------ documents
@@ -432,13 +456,11 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     the order of a hash of their words; a row repeated with its id is one document and loses nothing to its copy.  A null text is
     empty; texts shorter than a window stay as they are.  Ids are whole numbers.
     """
-    seen = cut_lineage(marks(docs, width, id_col, text_col, sizes))
-    long = seen.where(F.col("n_words") >= width)
     spans = "array<struct<start:long,end:long>>"
-    reps = long.groupBy("words_sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha")).alias("r"),
-                                         F.first("anchors").alias("anchors"), F.count("*").alias("rows"))
-    reps = reps.repartitionByRange("words_sha").sortWithinPartitions("words_sha")  # so that numbers follow the hash
-    reps = cut_lineage(reps.select(F.monotonically_increasing_id().alias("rep"), "words_sha", "r.doc_id", "r.text_sha", "anchors", "rows"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha"))
+    reps = marks(docs, width, id_col, text_col, sizes).where(F.col("n_words") >= width).groupBy("words_sha").agg(
+        least.alias("r"), F.first("tie").alias("rep"), F.first("anchors").alias("anchors"), F.count("*").alias("rows"))
+    reps = cut_lineage(reps.select("rep", "words_sha", "r.doc_id", "r.text_sha", "anchors", "rows"))
     grams = shared_anchors(reps, sizes).groupBy("rep").agg(F.collect_set("gram").alias("grams"))
     suspects = grams.join(reps.select("rep", F.col("doc_id").alias("id__"), F.col("text_sha").alias("sha__")), "rep")
     texts = _keyed(docs, id_col, text_col)
@@ -446,9 +468,10 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     parts = cut_lineage(segments(texts.join(suspects, same), width, sizes))
     found = cut_lineage(merged(cut_lineage(covered(parts, width, sizes)), width, sizes))
     # one row per different words: where they stand first, and what is covered there
-    firsts = cut_lineage(reps.select("rep", "words_sha", F.col("doc_id").alias("first"), "rows").join(found, "rep", "left")
+    key = [F.coalesce("doc_id", F.lit(LAST)).alias("id"), "rep"]
+    firsts = cut_lineage(reps.select(*key, "words_sha", F.col("doc_id").alias("first"), "rows").join(found, ["id", "rep"], "left")
                          .select("words_sha", F.struct("first", "spans").alias("at"), F.col("rows").alias("weight")))
-    rows = lookup(long.select("doc_id", "text_sha", "words_sha", "n_words").distinct(), firsts, "words_sha", "at", "weight", "text_sha")
+    rows = lookup(plain_marks(docs, width, id_col, text_col).distinct(), firsts, "words_sha", "at", "weight", "text_sha")
     gone = (F.when(~F.col("doc_id").eqNullSafe(F.col("at.first")), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))))
             .otherwise(F.col("at.spans")).cast(spans))
     plan = rows.select(F.col("doc_id").alias("id__"), F.col("text_sha").alias("sha__"), gone.alias("spans")).where("spans is not null")

@@ -67,8 +67,7 @@ def test_long_prefixes_reach_every_depth(spark):
     sizes = repeats.Sizes(5, 40)
     passage = " ".join(f"p{i}" for i in range(30))
     d = spark.createDataFrame([(i, f"own{i} {passage} end{i}", None, None, None, None, None) for i in range(60)], docs(spark).schema).repartition(6)
-    seen = repeats.cut_lineage(repeats.marks(d, 20, "doc_id", "text"))
-    reps = repeats.cut_lineage(seen.select("doc_id", F.monotonically_increasing_id().alias("rep"), "anchors"))
+    reps = repeats.cut_lineage(repeats.marks(d, 20, "doc_id", "text").select("doc_id", F.col("tie").alias("rep"), "anchors"))
     grams = repeats.shared_anchors(reps, sizes).groupBy("rep").agg(F.collect_set("gram").alias("grams"))
     parts = repeats.cut_lineage(repeats.segments(d.select("doc_id", F.col("text").cast("binary").alias("text")).join(reps, "doc_id").join(grams, "rep"), 20, sizes))
     frequent, many = repeats.long_prefixes(parts, 20, sizes)
