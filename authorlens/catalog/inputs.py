@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from authorlens.operators.perplexity import ROW, row_place
 from authorlens.session import dealt
 
 
@@ -11,11 +12,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf: str, busy: bool = False) -> DataFrame:
-    """``busy`` deals the rows out for queries that do heavy work on each text."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+def documents(spark: SparkSession, sf: str, busy: bool = False, placed: bool = False) -> DataFrame:
+    """``busy`` deals the rows out for queries that do heavy work on each text; ``placed`` adds a key per row."""
+    key = [row_place().alias(ROW)] if placed else []
+    d = table(spark, sf, "documents").select("doc_id", "text", "source", "lang", *key)
     d = dealt(d) if busy else d
-    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("code"), "source", "lang")
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("code"), "source", "lang", *([ROW] if placed else []))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:

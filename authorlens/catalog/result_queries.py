@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
+from authorlens import schemas
 from authorlens.catalog import inputs as I
 from authorlens.operators import corpus, evaluation, ranking, scoring, training
 from authorlens.operators.features import extract_features
-from authorlens.operators.perplexity import with_perplexity
+from authorlens.operators.perplexity import ROW, attach_perplexity, row_perplexity
 from authorlens.plans.analysis import analyze
 from authorlens.session import cut_lineage
 from authorlens.sources.sinks import export_rows, result_lines
@@ -245,11 +246,13 @@ _CM = (f"(SELECT count(*) FILTER (WHERE p <= 0.5 AND y_true <> 1)::DOUBLE AS tn,
 
 def analysis(spark, sf):
     """The whole analysis of every document: real features with perplexity, a model fitted here, reasons and marked lines."""
-    d = with_perplexity(I.documents(spark, sf, busy=True))
-    labelled = d.select("id", "code", "source", "_ppl").join(I.labels(spark, sf), "id").withColumn("language", F.lit("python"))
-    data = cut_lineage(extract_features(labelled, F.col("_ppl"), keep=["id", "label", "source"]).drop("error"))
+    d = I.documents(spark, sf, busy=True, placed=True)
+    scored = cut_lineage(row_perplexity(d))
+    labelled = d.join(I.labels(spark, sf), "id").withColumn("language", F.lit("python"))
+    data = attach_perplexity(extract_features(labelled, keep=["id", "label", "source", ROW]), scored)
+    data = cut_lineage(data.select("id", "label", "source", "detected_language", *schemas.FEATURES))
     model = training.train(data, SMALL_FOREST, validate=False)
-    out = analyze(d, model, model.threshold, perplexity=F.col("_ppl"))
+    out = analyze(d, model, model.threshold, scored=scored)
     return out.select("id", "ai_probability", "verdict", "detected_language", "error", F.get("top_features", F.lit(0))["name"].alias("first_feature"),
                       F.round(F.col("all_features.perplexity"), ROUND).alias("perplexity"), F.size("explanations").alias("n_reasons"),
                       F.size("line_annotations").alias("n_lines"))

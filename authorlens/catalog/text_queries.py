@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from authorlens import schemas
 from authorlens.catalog import inputs as I
 from authorlens.functions import annotate, language, style, text
 from authorlens.operators import annotations, features, perplexity, scoring, similarity
+from authorlens.session import checkpoint_dir
 from authorlens.sources.readers import id_of_file, is_accepted
 
 WS, WORD = I.WS, I.WORD
@@ -147,6 +150,14 @@ def bigram_perplexity(spark, sf):
     return _rounded(perplexity.bigram_perplexity(I.documents(spark, sf, busy=True)), "id")
 
 
+def stored_perplexity(spark, sf):
+    """Turns of conversations under a model of the documents that was written and read back; most of their pairs are new to it."""
+    path = f"{checkpoint_dir(spark)}/bigrams-{uuid4()}"
+    perplexity.bigram_model(I.documents(spark, sf, busy=True)).save(path)
+    turns = I.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("code"))
+    return _rounded(perplexity.bigram_perplexity(turns, model=perplexity.load_model(spark, path)), "id")
+
+
 def perplexity_readings(spark, sf):
     p = perplexity.bigram_perplexity(I.documents(spark, sf, busy=True))
     return p.groupBy(scoring.perplexity_reading(F.col("perplexity")).alias("reading")).agg(F.count(F.lit(1)).alias("n"))
@@ -174,8 +185,10 @@ def code_structure(spark, sf):
 
 
 def feature_table(spark, sf):
-    d = perplexity.with_perplexity(I.documents(spark, sf, busy=True))
-    return _rounded(features.extract_features(d, F.col("_ppl")).drop("error"), "id", "detected_language")
+    d = I.documents(spark, sf, busy=True, placed=True)
+    rows = features.extract_features(d, keep=["id", perplexity.ROW])
+    rows = perplexity.attach_perplexity(rows, perplexity.row_perplexity(d)).select("id", "detected_language", *schemas.FEATURES)
+    return _rounded(rows, "id", "detected_language")
 
 
 # ------------------------------------------------------------------ gates
@@ -371,7 +384,7 @@ _SEVERITY_RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'lo
 QUERIES = {f.__name__: f for f in (
     lang_scores, lang_best, lang_by_extension, resolved_language, unsupported_language, language_settings, line_stats,
     comment_stats, block_doc_counts, whitespace_stats, operator_spacing, token_entropy, char_entropy, token_frequencies,
-    bigram_perplexity, perplexity_readings, naming_stats, identifier_counts, code_structure, feature_table,
+    bigram_perplexity, stored_perplexity, perplexity_readings, naming_stats, identifier_counts, code_structure, feature_table,
     submission_gate, short_text_gate, result_search, annotations_capped, annotation_counts, annotated_source,
     explanations_long, severity_counts, severity_by_feature, feature_report)}
 
@@ -418,6 +431,13 @@ ORACLE = {
     "char_entropy": _entropy_sql(I.DOCUMENTS, "string_split(code, '')", "char_entropy"),
     "token_frequencies": f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{I.TOKEN}')) AS token FROM documents) t GROUP BY token",
     "bigram_perplexity": f"SELECT id, n_pairs, round(perplexity, 6) AS perplexity FROM {_PERPLEXITY} p",
+    "stored_perplexity": f"WITH d AS (SELECT regexp_extract_all(code, '{I.TOKEN}') AS t FROM ({I.DOCUMENTS}) x), voc AS (SELECT count(DISTINCT k) AS v FROM "
+                         f"(SELECT unnest(t) AS k FROM d)), known AS (SELECT t[i] AS a, t[i + 1] AS b, count(*) AS np FROM (SELECT t, unnest(range(1, len(t))) AS i FROM d) "
+                         f"GROUP BY ALL), firsts AS (SELECT a, sum(np) AS nf FROM known GROUP BY a), turns AS (SELECT conv_id || '-' || turn AS id, "
+                         f"regexp_extract_all(text, '{I.TOKEN}') AS t FROM conversations), mine AS (SELECT id, t[i] AS a, t[i + 1] AS b FROM (SELECT id, t, "
+                         f"unnest(range(1, len(t))) AS i FROM turns)) SELECT id, count(a) AS n_pairs, round(coalesce(exp(-avg(CASE WHEN a IS NOT NULL THEN "
+                         f"ln((coalesce(np, 0) + 1.0::DOUBLE) / (coalesce(nf, 0) + v)) END)), -1.0), 6) AS perplexity FROM (SELECT id FROM turns) LEFT JOIN mine USING (id) "
+                         f"LEFT JOIN known USING (a, b) LEFT JOIN firsts USING (a), voc GROUP BY id",
     "perplexity_readings": f"SELECT CASE WHEN perplexity < 5 THEN 'vrlo nizak → vjerojatno AI' WHEN perplexity < 20 THEN 'nizak → moguće AI' "
                            f"WHEN perplexity < 60 THEN 'srednji → nejasno' ELSE 'visok → vjerojatno čovjek' END AS reading, count(*) AS n "
                            f"FROM {_PERPLEXITY} p GROUP BY 1",

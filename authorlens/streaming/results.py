@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from authorlens.operators import scoring
+from authorlens.operators.perplexity import load_model, row_perplexity, with_row_key
 from authorlens.operators.training import CalibratedForest
 from authorlens.plans.analysis import analyze
 from authorlens.sources.readers import stream_submissions
@@ -14,16 +15,25 @@ from authorlens.sources.sinks import result_lines
 
 def start_scoring(spark: SparkSession, source: str, sink: str, checkpoint: str, model: CalibratedForest | None,
                   threshold: float = scoring.DEFAULT_THRESHOLD, files_per_trigger: int | None = None,
-                  once: bool = True) -> StreamingQuery:
+                  once: bool = True, language_model: str | None = None) -> StreamingQuery:
     """Judges new submission files and appends result rows under ``sink/results``.
 
     Rows with an error stay in the results and are also kept under ``sink/errors``.  Each
     micro-batch owns one folder and overwrites it, so a repeated batch leaves no double rows.
+
+    ``language_model`` is the folder of a stored ``BigramModel``; its perplexity then joins the rows
+    of each micro-batch as it does in a batch, and a restarted stream goes on with the same model.
     """
-    judged = analyze(stream_submissions(spark, source, files_per_trigger), model, threshold)
+    stream = stream_submissions(spark, source, files_per_trigger)
+    judged = stream if language_model else analyze(stream, model, threshold)
+    bigrams = load_model(spark, language_model) if language_model else None
+
+    def with_perplexity(batch: DataFrame) -> DataFrame:
+        rows = with_row_key(batch)
+        return analyze(rows, model, threshold, scored=row_perplexity(rows, bigrams))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        batch = (with_perplexity(batch) if bigrams else batch).persist()
         try:
             batch.write.mode("overwrite").parquet(f"{sink}/results/batch={number}")
             result_lines(batch).write.mode("overwrite").text(f"{sink}/lines/batch={number}")

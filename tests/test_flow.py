@@ -94,6 +94,51 @@ def test_stream_equals_batch(spark, model, tmp_path):
     assert readers.result_totals(lines).first().results == batch.total
 
 
+def test_stream_with_a_stored_language_model(spark, model, tmp_path):
+    """Every streamed row is the batch row, before and after a restart; half the pairs are new to the model."""
+    src, out, stored = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "bigrams")
+    src.mkdir()
+    corpus = spark.createDataFrame([("a", PYTHON), ("b", "x y z\n" * 9)], "id string, code string")
+    perplexity.bigram_model(corpus).save(stored)
+    rows = [{**r.asDict(), "label": 1} for r in submissions(spark).collect()]
+    for part in ("0", "1"):  # a second run of the stream goes on from its checkpoint
+        for n in "ab":
+            (src / f"{part}{n}.json").write_text("".join(json.dumps({**r, "id": f"{r['id']}{part}"}) + "\n" for r in rows))  # ids repeat
+        stream.start_scoring(spark, str(src), out, str(tmp_path / "ck"), model, language_model=stored, files_per_trigger=1).awaitTermination()
+        batch = perplexity.with_row_key(readers.read_submissions(spark, str(src)))
+        scored = perplexity.row_perplexity(batch, perplexity.load_model(spark, stored))
+        want = analyze(batch, model, scored=scored).collect()
+        got = spark.read.parquet(f"{out}/results").drop("batch").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        values = [r.all_features.perplexity for r in got if r.all_features]
+        assert values and all(v > 0 for v in values) and {r.all_features.model_available for r in got if r.all_features} == {1}
+
+
+def test_unseen_pairs(spark, tmp_path):
+    import math
+    perplexity.bigram_model(spark.createDataFrame([(1, "a b a b a c"), (2, "")], "id int, code string")).save(str(tmp_path))
+    model = perplexity.load_model(spark, str(tmp_path))
+    assert model.vocabulary == 3
+    df = spark.createDataFrame([(1, "a b"), (2, "a z"), (3, "z a"), (4, "a b z q"), (5, "a"), (6, "")], "id int, code string")
+    got = {r.id: (r.n_pairs, r.perplexity) for r in perplexity.bigram_perplexity(df, model=model).collect()}
+    seen, known, new = 3 / 6, 1 / 6, 1 / 3  # a b twice after three a; an a before something new; a new first token
+    b_new = 1 / (2 + 3)
+    want = {1: (1, 1 / seen), 2: (1, 1 / known), 3: (1, 1 / new), 4: (3, math.exp(-(math.log(seen) + math.log(b_new) + math.log(new)) / 3)), 5: (0, -1.0), 6: (0, -1.0)}
+    assert got == {i: (n, pytest.approx(p)) for i, (n, p) in want.items()}
+    nothing = perplexity.bigram_model(df.limit(0))
+    assert {r.perplexity for r in perplexity.bigram_perplexity(df, model=nothing).collect()} == {1.0, -1.0}
+    assert perplexity.bigram_perplexity(df.limit(0), model=model).count() == 0
+
+
+def test_features_with_perplexity_move_no_texts(spark, tmp_path):
+    from authorlens.catalog import text_queries
+    spark.createDataFrame([(1, PYTHON, "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = text_queries.feature_table(spark, str(tmp_path))._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [node for node in plan.split("\n\n") if "Exchange" in node.split("\n")[0]]
+    assert moved and not any("code#" in node or "text#" in node for node in moved)
+
+
 def test_code_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.b.py").write_text("x = 1\ny = 2\n")
