@@ -67,6 +67,22 @@ def pair_bounds(spark, sf):
     return _r6(sim.pair_bounds(pairs, d), "length_bound", "char_bound")
 
 
+def similarity_classes(spark, sf):
+    return sim.similarity_classes(I.documents(spark, sf), t=0.4)
+
+
+def lsh_classes(spark, sf):
+    return sim.lsh_classes(I.documents(spark, sf))
+
+
+def lsh_recall(spark, sf):
+    return _r6(sim.lsh_recall(I.documents(spark, sf)), "recall")
+
+
+def char_bound_classes(spark, sf):
+    return sim.char_bound_classes(I.documents(spark, sf))
+
+
 def length_partners(spark, sf):
     return sim.length_partners(I.documents(spark, sf)).select("id", "len", "partners")
 
@@ -95,6 +111,15 @@ def _similar_sql(t: str, measure: str = "dice", op: str = ">=") -> str:
             f"JOIN {_GROUPS} gb ON gb.id = id_b WHERE similarity {op} {t}::DOUBLE UNION ALL SELECT id, id, 1.0, copies, copies FROM {_GROUPS} g WHERE copies > 1)")
 
 
+def _classes_sql(pairs: str) -> str:
+    """Class and links of every document from pairs of representatives, by walking the links."""
+    return (f"WITH RECURSIVE p AS MATERIALIZED (SELECT id_a, id_b FROM {pairs} q WHERE id_a <> id_b), ends AS MATERIALIZED (SELECT id_a AS a, id_b AS b FROM p "
+            f"UNION ALL SELECT id_b, id_a FROM p), g AS MATERIALIZED {_GROUPS}, walk AS (SELECT id AS node, id AS root FROM g UNION SELECT ends.b, walk.root FROM walk JOIN ends "
+            f"ON ends.a = walk.node), roots AS (SELECT node, min(root) AS class_id FROM walk GROUP BY node), links AS (SELECT a, sum(copies) AS n FROM ends JOIN g ON g.id = b "
+            f"GROUP BY a), named AS (SELECT g.code, class_id, (coalesce(n, 0) + copies - 1)::BIGINT AS n_links FROM g JOIN roots ON node = g.id LEFT JOIN links ON a = g.id) "
+            f"SELECT s.id, class_id, n_links FROM {_STRIPPED} s JOIN named USING (code)")
+
+
 # ------------------------------------------------------------------ trees
 
 def _events(spark, sf):
@@ -152,7 +177,7 @@ _ROLE_N = ", ".join(f"count(*) FILTER (WHERE delta = 1 AND role = '{r}') AS n_{r
 
 QUERIES = {f.__name__: f for f in (
     copy_groups, kgram_similarity_pairs, suspicious_pairs, shingle_jaccard_pairs, similarity_tiers, pairs_at_least, blocked_pairs,
-    similarity_cells, pair_sources, pair_bounds, length_partners, tree_events, tree_depth, node_types, role_counts,
+    similarity_cells, pair_sources, pair_bounds, similarity_classes, lsh_classes, lsh_recall, char_bound_classes, length_partners, tree_events, tree_depth, node_types, role_counts,
     densities, nesting, block_spans, role_lengths)}
 
 _CHARS = ("(SELECT id, x, count(*) AS c FROM (SELECT id, unnest(string_split(code, '')) AS x FROM " + _STRIPPED + " c0) c1 GROUP BY id, x)")
@@ -163,6 +188,12 @@ ORACLE = {
     "kgram_similarity_pairs": f"SELECT id_a, id_b, round(similarity, 6) AS similarity, copies_a, copies_b FROM {_similar_sql('0.4')} p",
     "suspicious_pairs": f"SELECT id_a, id_b, round(similarity, 6) AS similarity, copies_a, copies_b FROM {_similar_sql('0.7', op='>')} p",
     "shingle_jaccard_pairs": f"SELECT id_a, id_b, round(similarity, 6) AS similarity, copies_a, copies_b FROM {_similar_sql('0.5', 'jaccard')} p",
+    "similarity_classes": _classes_sql(_similar_sql("0.4")),
+    "lsh_classes": _classes_sql(_similar_sql("0.8", "jaccard")),
+    "char_bound_classes": _classes_sql(f"(SELECT id_a, id_b FROM (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.c, b.c)) AS o FROM ch a JOIN ch b ON a.x = b.x AND a.id < b.id "
+                                       f"GROUP BY ALL) o JOIN l a ON a.id = id_a JOIN l b ON b.id = id_b WHERE 2.0::DOUBLE * o / (a.n + b.n) >= 0.7::DOUBLE)")
+    .replace("WITH RECURSIVE ", f"WITH RECURSIVE ch AS MATERIALIZED (SELECT id, x, count(*) AS c FROM (SELECT id, unnest(string_split(code, '')) AS x FROM {_GROUPS} g0) c1 GROUP BY id, x), "
+                                f"l AS (SELECT id, length(code) AS n FROM {_GROUPS} g1), "),
     "similarity_tiers": f"SELECT CASE WHEN {_PCT} >= 80 THEN 'Very high similarity' WHEN {_PCT} >= 60 THEN 'High similarity' WHEN {_PCT} >= 40 THEN 'Moderate' "
                         f"ELSE 'Low similarity' END AS tier, CASE WHEN {_PCT} >= 85 THEN 'red' ELSE 'amber' END AS colour, count(*) AS n FROM {_similar_sql('0.4')} p GROUP BY ALL",
     "pairs_at_least": f"SELECT id_a, id_b, round(similarity, 6) AS similarity FROM {_similar_sql('0.4')} p WHERE round(similarity, 4) >= 0.9::DOUBLE",
