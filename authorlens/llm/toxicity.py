@@ -35,7 +35,7 @@ LEAST_TEXTS = 3
 LEAST_RATIO = 12.0
 FACTORS = 4
 EPOCHS, BATCH, RATE, DECAY = 20, 64, 0.2, 1e-4
-FACTOR_EPOCHS, FACTOR_RATE, FACTOR_SHRINK, FACTOR_START = 8, 0.5, 0.03, 0.1
+FACTOR_EPOCHS, FREE_EPOCHS, FACTOR_RATE, FACTOR_SHRINK, FACTOR_START = 6, 2, 0.5, 0.03, 0.1
 PREFIXES = (4, 5, 6, 7)
 REMEMBERED = 80_000  # words
 WORD = re.compile(r"[^\W_]+")
@@ -103,7 +103,7 @@ def fit(places: dict[int, int], rows: list[tuple[np.ndarray, int]], labels: np.n
         return Machine(float(np.log(share / (1 - share))) - 1e-9, {}, w[:0], v[:0])
     sw, sb = np.full(n, 1e-6), 1e-6
     few = [(r[telling[r]], many) for r, many in rows]
-    for part, batch, (used, where, owner) in _batches(few, EPOCHS, rng):
+    for part, (batch, used, where, owner) in _batches(few, EPOCHS, rng, _used):
         error = (probability(raw_scores(Machine(bias, places, w, v), batch)) - labels[part]) / len(part)
         sb += error.sum() ** 2
         bias -= RATE * error.sum() / np.sqrt(sb)
@@ -111,39 +111,49 @@ def fit(places: dict[int, int], rows: list[tuple[np.ndarray, int]], labels: np.n
             gw = np.bincount(where, error[owner], len(used)) + DECAY * w[used]
             sw[used] += gw * gw
             w[used] -= RATE * gw / np.sqrt(sw[used])
-    v, sv = rng.normal(0, FACTOR_START, (n, FACTORS)), np.ones((n, FACTORS))
-    for part, batch, (used, where, owner) in _batches(rows, FACTOR_EPOCHS, rng):
-        if not len(used):
-            continue
-        error = probability(raw_scores(Machine(bias, places, w, v), batch)) - labels[part]
-        own = v[used][where]
-        total = np.stack([np.bincount(owner, own[:, f], len(batch)) for f in range(FACTORS)], 1)
-        scale = (error / np.maximum(1, [many for _, many in batch]))[owner]
-        gv = np.stack([np.bincount(where, scale * (total[owner, f] - own[:, f]), len(used)) for f in range(FACTORS)], 1)
+    v, sv = rng.normal(0, FACTOR_START, (n, FACTORS)).astype(np.float32), np.ones((n, FACTORS), np.float32)
+    for step, (part, (flat, used, order, first, owner, full, at, many)) in enumerate(_batches(rows, FACTOR_EPOCHS, rng, _sorted)):
+        shrink = FACTOR_SHRINK if step * BATCH > FREE_EPOCHS * len(rows) else 0.0  # a pair takes a while to stand out
+        own = v[flat]
+        total = np.add.reduceat(own, at, axis=0)
+        pairs = 0.5 * ((total * total).sum(1) - np.add.reduceat((own * own).sum(1), at)) / many
+        error = (probability(bias + np.add.reduceat(w[flat], at) + pairs) - labels[part][full]) / many
+        gv = np.add.reduceat((error.astype(np.float32)[owner, None] * (total[owner] - own))[order], first, axis=0)
         sv[used] += gv * gv
         new = v[used] - FACTOR_RATE * gv / np.sqrt(sv[used])
-        v[used] = new * np.maximum(0, 1 - FACTOR_SHRINK / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12))
+        v[used] = new * np.maximum(0, 1 - shrink / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12))
     met = np.bincount(np.concatenate([r for r, _ in rows]), minlength=n) > 0
     kept = np.flatnonzero(met & ((w != 0) | v.any(1)))
     row = {int(k): i for i, k in enumerate(kept)}
     return Machine(float(bias), {place: row[k] for place, k in places.items() if k in row}, w[kept], v[kept])
 
 
-def _batches(rows: list, epochs: int, rng: np.random.Generator):
-    """Every epoch the same batches in another order: (numbers of the rows, rows, what ``_used`` says of them)."""
+def _batches(rows: list, epochs: int, rng: np.random.Generator, laid_out):
+    """Every epoch the same batches, each with at least a term, in another order: (numbers of the rows, what ``laid_out`` makes of them)."""
     order = rng.permutation(len(rows))
     parts = [order[lo:lo + BATCH] for lo in range(0, len(order), BATCH)]
-    batches = [(part, (batch := [rows[i] for i in part]), _used(batch)) for part in parts]
+    batches = [(part, laid_out([rows[i] for i in part])) for part in parts if any(len(rows[i][0]) for i in part)]
     for _ in range(epochs):
         for i in rng.permutation(len(batches)):
             yield batches[i]
 
 
-def _used(batch: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct terms of the batch, each occurrence's number among them, its text)."""
+def _used(batch: list[tuple[np.ndarray, int]]) -> tuple:
+    """The batch, its distinct terms, each occurrence's number among them, and its text."""
     owner = np.repeat(np.arange(len(batch)), [len(r) for r, _ in batch])
     used, where = np.unique(np.concatenate([r for r, _ in batch]), return_inverse=True)
-    return used, where, owner
+    return batch, used, where, owner
+
+
+def _sorted(batch: list[tuple[np.ndarray, int]]) -> tuple:
+    """Terms of a batch's texts one after the other, and the order and places in which they are summed by term and by text."""
+    sizes = np.array([len(r) for r, _ in batch])
+    full = np.flatnonzero(sizes)
+    flat = np.concatenate([r for r, _ in batch])
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order].astype(np.int64)) != 0)))
+    owner = np.repeat(np.arange(len(full)), sizes[full])
+    return flat, flat[order][first], order, first, owner, full, (np.cumsum(sizes) - sizes)[full], np.array([m for _, m in batch], float)[full]
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
