@@ -40,11 +40,41 @@ NAMED = {
 }
 
 
+K, L = "Xk29fjQ8zz", "q8Z7-x6C5v4"
+NAMED |= {
+    f'passphrase: str = "{K}"': [K], f'let dbPwd: string = "{K}";': [K], f'def f(pwd: str = "{K}", n: int = 3):': [K], f'x_pwd: Optional[str] | None = "{K}"': [K],
+    f'cfg["db_pwd"] = "{K}"': [K], f"os.environ['PRIVATE_KEY'] = '{K}'": [K], f'a["x"]["credential"] = "{K}"': [K],
+    f'pwd = """{K}"""': [K], f"pwd = `{K}`": [K], f'pwd = f"{K}"': [K], f"pwd = b'{K}'": [K], f"pwd = \x27\x27\x27{K}\nab\x27\x27\x27": [f"{K}\nab"],
+    f"<passphrase>{K}</passphrase>": [K], f'<login credential="{K}"/>': [K], f"<a><pwd>\n {K}\n</pwd></a>": [K],
+    f'pwds = []\ncredentials = ["{K}", "{L}"]': [K, L], f'pwd = [\n  "{K}",\n  "plain words only here",\n]': [K],
+    f'os.getenv("DB_PWD", "{K}")': [K], f'x = os.environ.get("DB_PWD", "{K}")': [K],
+    f'private_key = later\nlater = "{K}"': [K], f'p1 = "{K}"\np2 = "{L}"\nprivate_key = p1 + p2': [K, L],
+    'p1 = "Xk29"\np2 = "fjQ8zz"\nprivate_key = p1 + p2': ["Xk29", "fjQ8zz"],
+    f'x = "{K}"\nprivate_key = x\nx = "harmless"': [K], 'x = "harmless"\nprivate_key = x': [],
+    f'a = b\nb = c\nc = "{K}"\npwd = a': [K], f'pwd = decode("{K}")': [K], f'it isn\x27t my pwd = "{K}", that\x27s it': [K],
+    'pwd = "a" "b"': [], "the key: a word, and more of them": [], 'pwd == "Xk29fjQ8zz"': [], 'std::pwd::"Xk29fjQ8zz"': [], "pin: monday and tuesday": [],
+}
+
+
 @pytest.mark.parametrize("text", NAMED)
 def test_named(text):
     assert [text[s.start:s.end] for s in secrets.find(text) if s.kind == "named"] == NAMED[text]
 
 
+@pytest.mark.parametrize("text", [t for t, found in NAMED.items() if found])
+def test_nothing_is_left(text):
+    assert not any(secret in secrets.redact(text) for secret in NAMED[text])
+
+
+def test_linear_time():
+    import time
+    for text in ("x = y\n" * 30_000 + "pwd = x", "pwd = [" * 30_000, "pwd = " + "'a' + " * 30_000, "pwd = \"" * 30_000, "<pwd>" * 30_000, "key:key:" * 30_000,
+                 "a0 = 'x'\n" + "".join(f"a{i + 1} = a{i}\n" for i in range(20_000)) + "pwd = a20000", "x = pwd\npwd = x\n" * 15_000):
+        start = time.time()
+        secrets.find(text)
+        assert time.time() - start < 10, text[:20]
+
+
 def test_a_literal_that_runs_past_a_base_match(spark):
     for text, secret in (("password = \"Sunshine12$Rest!of#it\"", "Sunshine12$Rest!of#it"), (f"private_key = '{'0af9' * 8}XyZ!77'", "0af9" * 8 + "XyZ!77")):
         found = secrets.find(text)
