@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from authorlens.llm.tokens import Memo
@@ -109,10 +110,10 @@ class Piece:
         self.windows = np.flatnonzero(self.owner[:len(self.places)] == self.owner[width - 1:])  # those within one text
 
 
-def pieces(column: pa.Array, width: int, memo: Memo, chunk: int) -> Iterator[tuple[int, list[list[bytes]], Piece]]:
+def pieces(texts: list[bytes], width: int, memo: Memo, chunk: int) -> Iterator[tuple[int, list[list[bytes]], Piece]]:
     """(number of the first text, words of the texts, their piece), about ``chunk`` words at a time."""
     some, size, lo = [], 0, 0
-    for i, text in enumerate(column.to_pylist()):
+    for i, text in enumerate(texts):
         some.append(words_of(text))
         size += len(some[-1])
         if size >= chunk:
@@ -136,7 +137,7 @@ def marks(docs: DataFrame, width: int, id_col: str, text_col: str, sizes: Sizes
     def run(batches):
         memo = Memo(_code, REMEMBERED)
         for b in batches:
-            for lo, words, piece in pieces(b.column(2), width, memo, sizes.chunk):
+            for lo, words, piece in pieces(b.column(2).to_pylist(), width, memo, sizes.chunk):
                 at = np.unique(piece.places[piece.windows])
                 cuts = np.searchsorted(at, np.concatenate(([0], piece.ends)))
                 sha = [hashlib.sha256(b" ".join(w)).digest() for w in words]
@@ -148,6 +149,20 @@ def marks(docs: DataFrame, width: int, id_col: str, text_col: str, sizes: Sizes
         run, "doc_id long, text_sha binary, words_sha binary, tie long, n_words long, anchors binary")
 
 
+def _carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_keyed`` with the text compressed, for joins that shuffle it."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor().compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(pack, b.column(2).to_pylist()), pa.binary())], ["doc_id", "text_sha", "text"])
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_sha binary, text binary")
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in column.to_pylist()]
+
+
 def _tie(sha: bytes) -> int:
     return int.from_bytes(sha[:8], "big") - (1 << 63)
 
@@ -241,12 +256,12 @@ def _bin(hashes: np.ndarray, bins: int) -> np.ndarray:
 def segments(texts: DataFrame, width: int, sizes: Sizes = Sizes()) -> DataFrame:
     """(codes, starts, sizes, rep, doc_id): the stretches of a text whose windows may repeat, as word codes.
 
-    ``texts`` is (rep, doc_id, text, grams).  An anchor repeated for one text is repeated for all, so a piece needs no list per text.
+    ``texts`` is (rep, doc_id, compressed text, grams).  An anchor repeated for one text is repeated for all, so a piece needs no list per text.
     """
     def run(batches):
         memo = Memo(_code, REMEMBERED)
         for b in batches:
-            for lo, words, piece in pieces(b.column("text"), width, memo, sizes.chunk):
+            for lo, words, piece in pieces(_unpacked(b.column("text")), width, memo, sizes.chunk):
                 grams = b.column("grams").slice(lo, len(words)).flatten().to_numpy().view(np.uint64)
                 found = piece.windows[np.isin(piece.grams[piece.places[piece.windows]], grams)]
                 n = len(piece.codes)
@@ -463,7 +478,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     reps = cut_lineage(reps.select("rep", "words_sha", "r.doc_id", "r.text_sha", "anchors", "rows"))
     grams = shared_anchors(reps, sizes).groupBy("rep").agg(F.collect_set("gram").alias("grams"))
     suspects = grams.join(reps.select("rep", F.col("doc_id").alias("id__"), F.col("text_sha").alias("sha__")), "rep")
-    texts = _keyed(docs, id_col, text_col)
+    texts = _carried(docs, id_col, text_col)
     same = texts["text_sha"].eqNullSafe(suspects["sha__"]) & texts["doc_id"].eqNullSafe(suspects["id__"])
     parts = cut_lineage(segments(texts.join(suspects, same), width, sizes))
     found = cut_lineage(merged(cut_lineage(covered(parts, width, sizes)), width, sizes))
@@ -481,7 +496,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     def run(batches):
         for b in batches:
             counts, kept = [], []
-            for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, cuts in zip(_unpacked(b.column(1)), b.column(2).to_pylist()):
                 words = words_of(text)
                 counts.append(len(words))
                 for c in reversed(cuts):

@@ -69,7 +69,7 @@ def test_long_prefixes_reach_every_depth(spark):
     d = spark.createDataFrame([(i, f"own{i} {passage} end{i}", None, None, None, None, None) for i in range(60)], docs(spark).schema).repartition(6)
     reps = repeats.cut_lineage(repeats.marks(d, 20, "doc_id", "text").select("doc_id", F.col("tie").alias("rep"), "anchors"))
     grams = repeats.shared_anchors(reps, sizes).groupBy("rep").agg(F.collect_set("gram").alias("grams"))
-    parts = repeats.cut_lineage(repeats.segments(d.select("doc_id", F.col("text").cast("binary").alias("text")).join(reps, "doc_id").join(grams, "rep"), 20, sizes))
+    parts = repeats.cut_lineage(repeats.segments(repeats._carried(d, "doc_id", "text").join(reps, "doc_id").join(grams, "rep"), 20, sizes))
     frequent, many = repeats.long_prefixes(parts, 20, sizes)
     assert many and {d for d, p in frequent.items() if p} == {1, 2, 3, 4, 6, 9, 14, 20}
     got = repeats.deduplicated(d, sizes=sizes).orderBy("doc_id").collect()
