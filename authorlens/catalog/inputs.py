@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from authorlens.catalog.code_texts import code_sql, code_texts
 from authorlens.operators.perplexity import ROW, row_place
 from authorlens.session import dealt
 
@@ -24,11 +25,16 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"), "url")
 
 
+def code(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a text of code."""
+    return code_texts(documents(spark, sf, busy=True))
+
+
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Prose and markup together; ids say where a text is from."""
-    d = documents(spark, sf).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "code")
-    p = pages(spark, sf).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "code")
-    return dealt(d.unionByName(p))
+    """Prose, markup and code together; ids say where a text is from."""
+    d = documents(spark, sf)
+    named = lambda rows, mark: rows.select(F.concat(F.lit(mark), F.col("id").cast("string")).alias("id"), "code")
+    return dealt(named(d, "d").unionByName(named(pages(spark, sf), "p")).unionByName(named(code_texts(d), "c")))
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,8 +68,6 @@ TOKEN = rf"[a-zA-Z_][{WORD}]*|[0-9]+|[^{WORD}{WS}]"
 
 DOCUMENTS = "SELECT doc_id AS id, text AS code, source, lang FROM documents"
 PAGES = "SELECT page_id AS id, html AS code, url FROM pages"
-TEXTS = ("SELECT 'd' || doc_id AS id, text AS code FROM documents "
-         "UNION ALL SELECT 'p' || page_id AS id, html AS code FROM pages")
 SAMPLES = ("SELECT d.doc_id AS id, d.text AS code, d.source, 1 - l.quality AS label "
            "FROM documents d JOIN labels l USING (doc_id)")
 PREDICTIONS = ("SELECT d.doc_id AS id, 1 - l.quality AS y_true, (length(d.text) % 211) / 211.0::DOUBLE AS p, d.source "
@@ -78,6 +82,11 @@ def lines_sql(source: str) -> str:
             f"END AS ls FROM ({source}) src0) src1)")
 
 
+CODE = f"SELECT id, code FROM {code_sql(lines_sql(DOCUMENTS))} code0"
+TEXTS = ("SELECT 'd' || doc_id AS id, text AS code FROM documents UNION ALL SELECT 'p' || page_id AS id, html AS code FROM pages "
+         f"UNION ALL SELECT 'c' || id AS id, code FROM ({CODE}) code1")
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^[{WS}]+', ''), '[{WS}]+\\z', '')"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from authorlens import schemas
 from authorlens.catalog import inputs as I
+from authorlens.catalog.code_texts import code_of
 from authorlens.operators import corpus, evaluation, ranking, scoring, training
 from authorlens.operators.features import extract_features
 from authorlens.operators.perplexity import ROW, attach_perplexity, row_perplexity
@@ -203,6 +204,14 @@ def auc_roc(spark, sf):
     return _r(evaluation.auc_roc(I.predictions(spark, sf)), "auc_roc")
 
 
+def auc_by_source(spark, sf):
+    return _r(evaluation.auc_roc(I.predictions(spark, sf), by="source"), "auc_roc")
+
+
+def average_precision_by_source(spark, sf):
+    return _r(evaluation.average_precision(I.predictions(spark, sf), by="source"), "average_precision")
+
+
 def average_precision(spark, sf):
     return _r(evaluation.average_precision(I.predictions(spark, sf)), "average_precision")
 
@@ -258,6 +267,14 @@ def analysis(spark, sf):
                       F.size("line_annotations").alias("n_lines"))
 
 
+def reasons(spark, sf):
+    """Every reason with its text, over all forty features of every document as code, perplexity among them."""
+    d = I.documents(spark, sf, busy=True, placed=True).withColumn("code", code_of(F.col("code"), F.col("id")))
+    d = d.withColumn("ai_probability", I.probability(F.col("code")))
+    rows = attach_perplexity(extract_features(d, keep=["id", "ai_probability", ROW]), row_perplexity(d))
+    return scoring.explanations_long(scoring.explain(rows)).select("id", "rank", "severity", "feature", "text")
+
+
 def trained_scores(spark, sf):
     """Scores of a small calibrated forest on its rebuilt test split."""
     data = extract_features(I.samples(spark, sf).withColumn("language", F.lit("python")), keep=["id", "label", "source"]).drop("error")
@@ -270,8 +287,8 @@ QUERIES = {f.__name__: f for f in (
     verdicts, risk_summary, risk_summary_by_source, display_labels, sorted_results, results_with_source, export_table,
     result_messages, top_features, corpus_union, corpus_capped, label_normalise, source_counts, class_stats, class_counts,
     undersample, stratified_split, held_out, folds, class_weights, standardise, confusion, confusion_by_source,
-    class_report, auc_roc, average_precision, pr_curve, threshold_search, precision_recall_at_k, score_rank,
-    trained_scores, analysis)}
+    class_report, auc_roc, auc_by_source, average_precision, average_precision_by_source, pr_curve, threshold_search, precision_recall_at_k, score_rank,
+    trained_scores, analysis, reasons)}
 
 _RES = f"(SELECT id, code, source, lang, {I.PROBABILITY} AS p FROM ({I.DOCUMENTS}) d)"
 
@@ -338,6 +355,13 @@ ORACLE = {
     "auc_roc": f"WITH x AS ({I.PREDICTIONS}), r AS (SELECT y_true, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk FROM x) "
                f"SELECT round((sum(rk) FILTER (WHERE y_true = 1) - count(*) FILTER (WHERE y_true = 1) * (count(*) FILTER (WHERE y_true = 1) + 1) / 2.0::DOUBLE) / "
                f"(count(*) FILTER (WHERE y_true = 1) * count(*) FILTER (WHERE y_true <> 1)), 6) AS auc_roc FROM r",
+    "auc_by_source": f"WITH x AS ({I.PREDICTIONS}), pairs AS (SELECT a.source, sum(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS s "
+                     f"FROM x a JOIN x b ON a.source = b.source AND a.y_true = 1 AND b.y_true <> 1 GROUP BY a.source), n AS (SELECT source, count(*) FILTER (WHERE y_true = 1) AS np, "
+                     f"count(*) FILTER (WHERE y_true <> 1) AS nn FROM x GROUP BY source) SELECT source, round(coalesce(s / nullif(np * nn, 0), 0), 6) AS auc_roc FROM n LEFT JOIN pairs USING (source)",
+    "average_precision_by_source": f"WITH x AS ({I.PREDICTIONS}), c AS (SELECT source, p, count(*) FILTER (WHERE y_true = 1)::DOUBLE AS pos, count(*) AS n FROM x GROUP BY source, p), "
+                                   f"w AS (SELECT *, sum(pos) OVER q AS tp, sum(n) OVER q AS seen, sum(pos) OVER (PARTITION BY source) AS np FROM c "
+                                   f"WINDOW q AS (PARTITION BY source ORDER BY p DESC)) SELECT source, round(coalesce(sum(pos / nullif(np, 0) * tp / seen), 0), 6) AS average_precision "
+                                   f"FROM w GROUP BY source",
     "average_precision": f"SELECT round(sum(pos / np * tp / (tp + fp)), 6) AS average_precision FROM {_CURVE} c",
     "pr_curve": f"SELECT round(p, 6) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / np, 6) AS recall FROM {_CURVE} c "
                 f"UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE",

@@ -233,12 +233,18 @@ def annotated_source(spark, sf):
     return annotations.annotated_source(I.documents(spark, sf, busy=True).withColumn("detected_language", F.lit("java")))
 
 
+def annotated_code(spark, sf):
+    """Lines of generated code with their marks, under the rules of brace languages."""
+    return annotations.annotated_source(I.code(spark, sf).withColumn("detected_language", F.lit("java")))
+
+
 def _annotations_sql(source: str, lang: str) -> str:
     mark = "#" if lang == "python" else "//"
     reserved = ", ".join(f"'{w}'" for w in annotate.RESERVED)
     hint = (f"WHEN regexp_matches(st, '\\){_S}*->{_S}*{_W}|:{_S}*(?:int|float|str|bool|list|dict|tuple|set|Optional|Union|"
             f"List|Dict){_R}') THEN 'amber|Type annotation — uncommon in student code'") if lang == "python" else ""
-    doc = "" if lang == "python" else ("WHEN starts_with(st, '/**') OR starts_with(st, '* ') OR st = '*/' THEN "
+    doc = ("WHEN one AND NOT inside THEN 'red|Formal docstring — strong AI indicator' WHEN edge AND NOT inside THEN "
+           "'red|Docstring block — strong AI indicator' WHEN inside THEN 'red|Docstring content'") if lang == "python" else ("WHEN starts_with(st, '/**') OR starts_with(st, '* ') OR st = '*/' THEN "
                                        "'red|Formal documentation comment — strong AI indicator'")
     return (
         f"(SELECT id, n, line, CASE {doc} WHEN regexp_matches(line, '^{_S}*{mark}') THEN CASE WHEN cw >= 4 THEN "
@@ -249,12 +255,16 @@ def _annotations_sql(source: str, lang: str) -> str:
         f"'amber|Explicit exception with message — AI error handling pattern' "
         f"WHEN regexp_matches(line, '^{_S}*(?:except|catch){_S}*[({WORD}]') THEN "
         f"'amber|Exception handling — AI code often handles all edge cases' END AS tn FROM "
-        f"(SELECT id, n, line, st, cw, len(ids) AS k, list_sum(list_transform(ids, lambda x: length(x)))::DOUBLE AS s FROM "
-        f"(SELECT id, n, line, {I.strip_sql('line')} AS st, {I.count_sql(f'''regexp_replace(line, '^{_S}*{mark}', '')''', f'[^{WS}]+')} AS cw, "
+        f"(SELECT id, n, line, st, cw, one, edge, len(ids) AS k, list_sum(list_transform(ids, lambda x: length(x)))::DOUBLE AS s, "
+        # a line that opens and closes leaves no passage open; any other line with quotes turns the state
+        f"coalesce(sum(edge::INT) OVER (PARTITION BY id, ones ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM "
+        f"(SELECT *, coalesce(sum(one::INT) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ones FROM "
+        f"(SELECT *, marks >= 2 AND length(st) > 6 AS one, marks > 0 AND NOT (marks >= 2 AND length(st) > 6) AS edge FROM "
+        f"(SELECT id, n, line, (length(line) - length(replace(line, '\"\"\"', ''))) // 3 AS marks, {I.strip_sql('line')} AS st, {I.count_sql(f'''regexp_replace(line, '^{_S}*{mark}', '')''', f'[^{WS}]+')} AS cw, "
         f"list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(line, '\"[^\"]*\"', '\"\"', 'g'), "
         f"'''[^'']*''', '''''', 'g'), '`[^`]*`', '``', 'g'), '[{WORD}]+'), lambda x: regexp_full_match(x, "
         f"'[a-zA-Z_][a-zA-Z0-9_]{{4,}}') AND lower(x) NOT IN ({reserved})) AS ids FROM {I.lines_sql(source)} l0 "
-        f"WHERE regexp_matches(line, '[^{WS}]')) l1) l2)")
+        f"WHERE regexp_matches(line, '[^{WS}]')) l1) l2) l3) l4)")
 
 
 def _capped_sql(source: str, lang: str) -> str:
@@ -350,6 +360,16 @@ def _names_sql() -> str:
             f"WHERE nm NOT IN ({words}))")
 
 
+def _functions_sql() -> str:
+    """Names behind a def that starts a line outside brackets."""
+    tokens = (f"(SELECT id, generate_subscripts(ts, 1) AS i, unnest(ts) AS tok FROM (SELECT id, regexp_extract_all(chr(10) || code, '{_PY_LEX}') AS ts FROM ({I.TEXTS}) f0) f1)")
+    # the depth never falls below zero: a closing bracket too many counts for nothing
+    return (f"(SELECT id, nm FROM (SELECT id, nm, raw - least(0, min(raw) OVER (PARTITION BY id ORDER BY i)) AS open FROM (SELECT id, i, "
+            f"regexp_extract(tok, '^\\n[ \\t]*(?:async[ \\t]+)?def[ \\t]+({_NAME})\\z', 1) AS nm, "
+            f"sum(CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS raw "
+            f"FROM {tokens} f2) f3) f4 WHERE nm <> '' AND open = 0)")
+
+
 _NAMING = (
     f"SELECT t.id, round(coalesce(avg(length(nm)), 0), 6) AS avg_identifier_length, "
     f"round(coalesce(avg((length(nm) = 1)::INT), 0), 6) AS single_char_name_ratio, "
@@ -385,7 +405,7 @@ QUERIES = {f.__name__: f for f in (
     lang_scores, lang_best, lang_by_extension, resolved_language, unsupported_language, language_settings, line_stats,
     comment_stats, block_doc_counts, whitespace_stats, operator_spacing, token_entropy, char_entropy, token_frequencies,
     bigram_perplexity, stored_perplexity, perplexity_readings, naming_stats, identifier_counts, code_structure, feature_table,
-    submission_gate, short_text_gate, result_search, annotations_capped, annotation_counts, annotated_source,
+    submission_gate, short_text_gate, result_search, annotations_capped, annotation_counts, annotated_source, annotated_code,
     explanations_long, severity_counts, severity_by_feature, feature_report)}
 
 _BLOCK_COUNTS = " UNION ALL ".join(
@@ -442,7 +462,8 @@ ORACLE = {
                            f"WHEN perplexity < 60 THEN 'srednji → nejasno' ELSE 'visok → vjerojatno čovjek' END AS reading, count(*) AS n "
                            f"FROM {_PERPLEXITY} p GROUP BY 1",
     "naming_stats": _NAMING,
-    "identifier_counts": f"SELECT nm AS name, false AS is_function_name, count(*) AS n FROM {_names_sql()} n GROUP BY nm",
+    "identifier_counts": f"SELECT nm AS name, false AS is_function_name, count(*) AS n FROM {_names_sql()} n GROUP BY nm UNION ALL "
+                         f"SELECT nm, true, count(*) FROM {_functions_sql()} f GROUP BY nm",
     "submission_gate": _gate_sql(I.DOCUMENTS, True),
     "short_text_gate": _gate_sql("SELECT conv_id || '-' || turn AS id, text AS code FROM conversations", False),
     "result_search": f"SELECT doc_id AS id, {_FILE_SQL} AS file FROM documents WHERE contains(lower(doc_id::VARCHAR), '7.p') OR "
@@ -452,6 +473,8 @@ ORACLE = {
                          f"({I.TEXTS}) t LEFT JOIN {_capped_sql(I.TEXTS, 'python')} c USING (id) GROUP BY t.id",
     "annotated_source": f"SELECT l.id, l.n AS line, l.line AS text, c.tone, c.note FROM {I.lines_sql(I.DOCUMENTS)} l LEFT JOIN "
                         f"{_capped_sql(I.DOCUMENTS, 'java')} c ON l.id = c.id AND l.n = c.line",
+    "annotated_code": f"SELECT l.id, l.n AS line, l.line AS text, c.tone, c.note FROM {I.lines_sql(I.CODE)} l LEFT JOIN "
+                      f"{_capped_sql(I.CODE, 'java')} c ON l.id = c.id AND l.n = c.line",
     "explanations_long": f"WITH judged AS {_JUDGED} SELECT id, row_number() OVER (PARTITION BY id ORDER BY {_SEVERITY_RANK}, ord) AS rank, "
                          f"severity, feature FROM {_EXPLAINED} e WHERE severity IS NOT NULL",
     "severity_counts": f"WITH judged AS {_JUDGED} SELECT id, count(*) FILTER (WHERE severity = 'high') AS strong, count(*) FILTER (WHERE "
