@@ -50,31 +50,27 @@ def test_lines_tokens_and_counts_equal_python(spark, codes):
         assert r._tight == len(re.findall(r"[^\s=!<>][=!<>]=[^\s=]", c))
 
 
-def style_twin(code, mark):
-    lines = code.splitlines()
-    n = len(lines) or 1
-    comments = [l for l in lines if re.match(rf"^\s*{mark}", l)]
-    words = sum(len(re.sub(rf"^\s*{mark}", "", l).split()) for l in comments)
-    filled = [len(l) for l in lines if l.strip()]
-    return {
-        "num_comment_lines": len(comments), "comment_ratio": len(comments) / n,
-        "avg_comment_length_words": words / len(comments) if comments else 0,
-        "comment_to_code_ratio": sum(map(len, comments)) / max(len(code), 1), "total_lines": n,
-        "empty_line_ratio": (n - len(filled)) / n, "avg_line_length": sum(filled) / len(filled) if filled else 0,
-        "max_line_length": max(filled, default=0), "uses_tabs": int(sum(l.startswith("\t") for l in lines) > len(lines) * 0.1),
-        "trailing_whitespace_ratio": sum(l != l.rstrip() for l in lines) / n,
-    }
-
-
-@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(texts(), min_size=20, max_size=20))
-def test_style_features_equal_python(spark, codes):
-    codes = codes + ["", NEAR_A, NEAR_B, "\t# a b\n#c \n\n  // d"]
-    for lang, mark in (("python", "#"), ("java", "//")):
-        df = rows(spark, codes).withColumn("detected_language", F.lit(lang))
-        for r in features.style_features(features.with_lines(df)).collect():
-            for k, v in style_twin(codes[r.id], mark).items():
-                assert r[k] == pytest.approx(v), (k, codes[r.id])
+# Counted by hand: text, its lines in any language, its comments under "#" and under "//".
+LINES = ["total_lines", "empty_line_ratio", "avg_line_length", "max_line_length", "uses_tabs", "trailing_whitespace_ratio"]
+COMMENTS = ["num_comment_lines", "comment_ratio", "avg_comment_length_words", "comment_to_code_ratio"]
+NO_COMMENT = (0, 0, 0, 0)
+BY_HAND = [
+    ("", (1, 1, 0, 0, 0, 0), NO_COMMENT, NO_COMMENT),
+    ("\n\n", (2, 1, 0, 0, 0, 0), NO_COMMENT, NO_COMMENT),
+    ("\t# a b\n#c \n\n  // d", (4, 1 / 4, 5, 6, 1, 1 / 4), (2, 1 / 2, 1.5, 9 / 18), (1, 1 / 4, 1, 6 / 18)),
+    ("x = 1  \r\n\r\n    # six words are in this one\r\ny = 2 # not a line of comment", (4, 1 / 4, 67 / 3, 31, 0, 1 / 4),
+     (1, 1 / 4, 6, 31 / 73), NO_COMMENT),
+    ("//a\n// b c\nint x; // d\t\n\tz", (4, 0, 23 / 4, 12, 1, 1 / 4), NO_COMMENT, (2, 1 / 2, 1.5, 9 / 26)),
+    ("\u2003# wide blank\x85\x1cé é \u2029#", (4, 1 / 4, 18 / 3, 13, 0, 1 / 4), (2, 1 / 2, 1, 14 / 21), NO_COMMENT),
+]
+
+
+@pytest.mark.parametrize("lang,mark", [("python", 2), ("ruby", 2), ("java", 3), ("rust", 3)])
+def test_style_features_by_hand(spark, lang, mark):
+    df = rows(spark, [case[0] for case in BY_HAND]).withColumn("detected_language", F.lit(lang))
+    for r in features.style_features(features.with_lines(df)).collect():
+        want = dict(zip(LINES, BY_HAND[r.id][1])) | dict(zip(COMMENTS, BY_HAND[r.id][mark]))
+        assert {k: r[k] for k in want} == {k: pytest.approx(v) for k, v in want.items()}, BY_HAND[r.id][0]
 
 
 def test_golden_pair(spark):
