@@ -23,22 +23,22 @@ class Kind:
     plain: str  # the base pattern
     needs: str | None  # a literal every match holds
     prior: float
-    context: str  # words that raise the score
+    context: str  # whole words on either side that raise the score
     base: bool = True
 
 
 # Patterns, priors and context words.
 EMAIL = Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-             r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@", 0.8, "mail|contact|write|correo|courriel")
+             r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@", 0.8, "mail|email|contact|write|correo|courriel")
 IP = Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", ".", 0.5,
-          r"\bip\b|host|server|address|login|client")
-CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9])+", None, 0.7, "card|visa|master|credit|karte|carte|tarjeta")
-PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax|whatsapp")
+          "ip|host|server|address|login|client")
+CARD = Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9])+", None, 0.7, "card|visa|mastercard|credit|karte|carte|tarjeta")
+PHONE = Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|telephone|tel|call|mobile|fax|whatsapp")
 IBAN = Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
             r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", None, 0.8, "iban|account|bank|konto|compte|cuenta", base=False)
 KINDS = (EMAIL, IP, CARD, PHONE, IBAN)
 AGAINST = "example|version|sample|isbn|order|invoice|dummy"
-REACH = 40  # characters of context before a match
+REACH = 40  # characters of context on either side of a match
 STEP = 0.2
 LIKELY = 0.5
 
@@ -83,11 +83,23 @@ def confirmed(kind: Kind, hit: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: Kind, before: Column) -> Column:
+def whole_words(words: str) -> str:
+    """A pattern that finds any of the words standing alone; text ends are blanks in what it is used on."""
+    return rf"[^\p{{L}}](?:{words})[^\p{{L}}]"
+
+
+def around(start: Column, hit: Column) -> Column:
+    """What stands within REACH characters of a match, in lower case, a word cut off at the edge with a letter before it."""
+    first = F.greatest(start - REACH - 1, F.lit(0))
+    after = F.substring(F.col("text"), start + F.length(hit) + 1, F.lit(REACH + 1))
+    return F.lower(F.concat(F.when(start <= REACH + 1, " ").otherwise(""), F.substring(F.col("text"), first + 1, start - first), F.lit("  "), after,
+                            F.when(F.length(after) <= REACH, " ").otherwise("")))
+
+
+def score(kind: Kind, low: Column) -> Column:
     """Prior, plus a step for a word that fits, less a step for one that speaks against it."""
-    low = F.lower(before)
-    return (F.lit(kind.prior) + F.when(low.rlike(kind.context), STEP).otherwise(0.0)
-            - F.when(low.rlike(AGAINST), STEP).otherwise(0.0))
+    return (F.lit(kind.prior) + F.when(low.rlike(whole_words(kind.context)), STEP).otherwise(0.0)
+            - F.when(low.rlike(whole_words(AGAINST)), STEP).otherwise(0.0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,10 +125,9 @@ def _spans(k: Kind) -> Column:
     """Confirmed and scored spans of one kind, from the columns of ``scan``."""
     rows = F.filter(F.transform(f"{k.name}_hits", lambda h, i: F.struct(
         h.alias("h"), F.element_at(F.col(f"{k.name}_at"), i * 2 + 2).alias("s"))), lambda r: confirmed(k, r["h"]))
-    before = lambda s: F.substring(F.col("text"), F.greatest(s - REACH, F.lit(0)) + 1, F.least(s, F.lit(REACH)))
     return F.transform(rows, lambda r: F.struct(
         F.lit(k.name).alias("kind"), r["s"].cast("long").alias("start"), (r["s"] + F.length(r["h"])).cast("long").alias("end"),
-        score(k, before(r["s"])).alias("score")))
+        score(k, around(r["s"], r["h"])).alias("score")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -146,9 +157,10 @@ def _hits_sql(kind: Kind) -> str:
         "iban": f"(array_to_string(list_transform(string_split({moved}, ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR "
                 f"ELSE c END), ''))::HUGEINT % 97 = 1",
     }[kind.name]
-    low = f"lower(substr(t, greatest(s - {REACH}, 0) + 1, least(s, {REACH})))"
-    points = (f"{kind.prior}::DOUBLE + CASE WHEN regexp_matches({low}, '{kind.context}') THEN {STEP}::DOUBLE ELSE 0.0::DOUBLE END "
-              f"- CASE WHEN regexp_matches({low}, '{AGAINST}') THEN {STEP}::DOUBLE ELSE 0.0::DOUBLE END")
+    low = (f"lower(CASE WHEN s <= {REACH + 1} THEN ' ' ELSE '' END || substr(t, greatest(s - {REACH + 1}, 0) + 1, least(s, {REACH + 1})) || '  ' || "
+           f"substr(t, s + length(h) + 1, {REACH + 1}) || CASE WHEN length(t) - s - length(h) <= {REACH} THEN ' ' ELSE '' END)")
+    points = (f"{kind.prior}::DOUBLE + CASE WHEN regexp_matches({low}, '{whole_words(kind.context)}') THEN {STEP}::DOUBLE ELSE 0.0::DOUBLE END "
+              f"- CASE WHEN regexp_matches({low}, '{whole_words(AGAINST)}') THEN {STEP}::DOUBLE ELSE 0.0::DOUBLE END")
     return (f"SELECT n, '{kind.name}' AS kind, {KINDS.index(kind)} AS k, s, s + length(h) AS e, {points} AS score FROM "
             f"(SELECT n, t, hs[i] AS h, (list_sum(list_transform(gs[1:i], lambda g: length(g))) "
             f"+ coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM "

@@ -42,9 +42,17 @@ def test_spans(spark):
 
 
 def test_context(spark):
-    rows = [(1, "call my phone +1 555 010 9999", *[None] * 5), (2, "sample version +1 555 010 9999", *[None] * 5)]
-    scores = {r.doc_id: r.spans[0].score for r in pii.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert scores[1] > 0.6 > scores[2]
+    number = "+49 30 1234567 89"
+    cases = {
+        f"call my phone {number}": 0.8, f"sample version {number}": 0.4, f"the hotel has {number}": 0.6, f"{number} is my phone": 0.8,
+        f"{number}: Tel": 0.8, f"tel{number}": 0.8, f"{number}tel.": 0.8, f"locally, at the border, we discard {number}": 0.6, f"Fax: {number} (dummy)": 0.6,
+        # a word that begins beyond the reach does not count, nor one cut off by it
+        "hotel" + " " * 38 + number: 0.6, "a tel" + " " * 38 + number: 0.6, "tel" + " " * 37 + number: 0.8, "a tel" + " " * 37 + number: 0.8,
+        number + " " * 37 + "tel": 0.8, number + " " * 37 + "telly": 0.6, number + " " * 38 + "tel": 0.6, f"étel {number} telé": 0.6,
+    }
+    rows = [(i, t, *[None] * 5) for i, t in enumerate(cases)]
+    got = {r.doc_id: round(r.spans[0].score, 6) for r in pii.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
 
 
 def test_many_matches(spark):
