@@ -103,21 +103,21 @@ def fit(places: dict[int, int], rows: list[tuple[np.ndarray, int]], labels: np.n
         return Machine(float(np.log(share / (1 - share))) - 1e-9, {}, w[:0], v[:0])
     sw, sb = np.full(n, 1e-6), 1e-6
     few = [(r[telling[r]], many) for r, many in rows]
-    for part, (batch, used, where, owner) in _batches(few, EPOCHS, rng, _used):
+    for part, (batch, used, where, owner) in _batches(few, np.arange(len(few)), EPOCHS, rng, _used):
         error = (probability(raw_scores(Machine(bias, places, w, v), batch)) - labels[part]) / len(part)
         sb += error.sum() ** 2
         bias -= RATE * error.sum() / np.sqrt(sb)
-        if len(used):
-            gw = np.bincount(where, error[owner], len(used)) + DECAY * w[used]
-            sw[used] += gw * gw
-            w[used] -= RATE * gw / np.sqrt(sw[used])
+        gw = np.bincount(where, error[owner], len(used)) + DECAY * w[used]
+        sw[used] += gw * gw
+        w[used] -= RATE * gw / np.sqrt(sw[used])
     v, sv = rng.normal(0, FACTOR_START, (n, FACTORS)).astype(np.float32), np.ones((n, FACTORS), np.float32)
-    for step, (part, (flat, used, order, first, owner, full, at, many)) in enumerate(_batches(rows, FACTOR_EPOCHS, rng, _sorted)):
-        shrink = FACTOR_SHRINK if step * BATCH > FREE_EPOCHS * len(rows) else 0.0  # a pair takes a while to stand out
+    some = np.array([i for i, (r, _) in enumerate(rows) if len(r)], np.int64)
+    for step, (part, (flat, used, order, first, owner, at, many)) in enumerate(_batches(rows, some, FACTOR_EPOCHS, rng, _sorted)):
+        shrink = FACTOR_SHRINK if step * BATCH > FREE_EPOCHS * len(some) else 0.0  # a pair takes a while to stand out
         own = v[flat]
         total = np.add.reduceat(own, at, axis=0)
         pairs = 0.5 * ((total * total).sum(1) - np.add.reduceat((own * own).sum(1), at)) / many
-        error = (probability(bias + np.add.reduceat(w[flat], at) + pairs) - labels[part][full]) / many
+        error = (probability(bias + np.add.reduceat(w[flat], at) + pairs) - labels[part]) / many
         gv = np.add.reduceat((error.astype(np.float32)[owner, None] * (total[owner] - own))[order], first, axis=0)
         sv[used] += gv * gv
         new = v[used] - FACTOR_RATE * gv / np.sqrt(sv[used])
@@ -128,14 +128,13 @@ def fit(places: dict[int, int], rows: list[tuple[np.ndarray, int]], labels: np.n
     return Machine(float(bias), {place: row[k] for place, k in places.items() if k in row}, w[kept], v[kept])
 
 
-def _batches(rows: list, epochs: int, rng: np.random.Generator, laid_out):
-    """Every epoch the same batches, each with at least a term, in another order: (numbers of the rows, what ``laid_out`` makes of them)."""
-    order = rng.permutation(len(rows))
-    parts = [order[lo:lo + BATCH] for lo in range(0, len(order), BATCH)]
-    batches = [(part, laid_out([rows[i] for i in part])) for part in parts if any(len(rows[i][0]) for i in part)]
+def _batches(rows: list, some: np.ndarray, epochs: int, rng: np.random.Generator, laid_out):
+    """Shuffled batches of some rows: (their numbers, what ``laid_out`` makes of them); one is held at a time."""
     for _ in range(epochs):
-        for i in rng.permutation(len(batches)):
-            yield batches[i]
+        order = rng.permutation(some)
+        for lo in range(0, len(order), BATCH):
+            part = order[lo:lo + BATCH]
+            yield part, laid_out([rows[i] for i in part])
 
 
 def _used(batch: list[tuple[np.ndarray, int]]) -> tuple:
@@ -146,14 +145,13 @@ def _used(batch: list[tuple[np.ndarray, int]]) -> tuple:
 
 
 def _sorted(batch: list[tuple[np.ndarray, int]]) -> tuple:
-    """Terms of a batch's texts one after the other, and the order and places in which they are summed by term and by text."""
+    """Terms of a batch's texts one after the other, and the order and places in which they are summed by term and by text; every text has a term."""
     sizes = np.array([len(r) for r, _ in batch])
-    full = np.flatnonzero(sizes)
     flat = np.concatenate([r for r, _ in batch])
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order].astype(np.int64)) != 0)))
-    owner = np.repeat(np.arange(len(full)), sizes[full])
-    return flat, flat[order][first], order, first, owner, full, (np.cumsum(sizes) - sizes)[full], np.array([m for _, m in batch], float)[full]
+    owner = np.repeat(np.arange(len(batch)), sizes)
+    return flat, flat[order][first], order, first, owner, np.cumsum(sizes) - sizes, np.array([m for _, m in batch], float)
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
@@ -209,9 +207,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
               .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n = [F.lit(float(sizes.get(k, 0) + 1)) for k in (0, 1)]
-    found = counts.select("term", (_ratio(F.col("toxic"), F.col("clean"), n[1], n[0]) >= LEAST_RATIO).alias("telling")).collect()
-    found.sort(key=lambda r: r["term"])
-    places = {r["term"]: i for i, r in enumerate(found)}
+    found = counts.select("term", (_ratio(F.col("toxic"), F.col("clean"), n[1], n[0]) >= LEAST_RATIO).alias("telling")).toArrow()
+    terms = found.column("term").to_numpy()
+    order = np.argsort(terms)
+    places = {t: i for i, t in enumerate(terms[order].tolist())}
+    telling = found.column("telling").to_numpy()[order].astype(bool)
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     def run(batches):
@@ -220,9 +220,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
             terms = [reader.terms(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tobytes() for t, _ in terms], pa.binary()), pa.array([m for _, m in terms], pa.int64())],
                                              ["toxic", "terms", "words"])
-    picked = sorted((r["toxic"], bytes(r["terms"]), r["words"]) for r in rows.mapInArrow(run, "toxic int, terms binary, words long").collect())
-    machine = fit(places, [(np.frombuffer(t, "<u4"), m) for _, t, m in picked], np.array([k for k, _, _ in picked], float),
-                  np.array([r["telling"] for r in found], bool))
+    picked = rows.mapInArrow(run, "toxic int, terms binary, words long").toArrow()
+    picked = sorted(zip(*(picked.column(c).to_pylist() for c in ("toxic", "terms", "words"))))  # so that no order of tasks matters
+    machine = fit(places, [(np.frombuffer(t, "<u4"), m) for _, t, m in picked], np.array([k for k, _, _ in picked], float), telling)
     return replace(machine, bias=machine.bias + shift)
 
 
