@@ -275,6 +275,12 @@ def reasons(spark, sf):
     return scoring.explanations_long(scoring.explain(rows)).select("id", "rank", "severity", "feature", "text")
 
 
+def printed_report(spark, sf):
+    """The printed report of every document as code, over all features."""
+    d = I.documents(spark, sf, busy=True, placed=True).withColumn("code", code_of(F.col("code"), F.col("id")))
+    return scoring.labelled_report(attach_perplexity(extract_features(d, keep=["id", ROW]), row_perplexity(d)))
+
+
 def trained_scores(spark, sf):
     """Scores of a small calibrated forest on its rebuilt test split."""
     data = extract_features(I.samples(spark, sf).withColumn("language", F.lit("python")), keep=["id", "label", "source"]).drop("error")
@@ -288,7 +294,7 @@ QUERIES = {f.__name__: f for f in (
     result_messages, top_features, corpus_union, corpus_capped, label_normalise, source_counts, class_stats, class_counts,
     undersample, stratified_split, held_out, folds, class_weights, standardise, confusion, confusion_by_source,
     class_report, auc_roc, auc_by_source, average_precision, average_precision_by_source, pr_curve, threshold_search, precision_recall_at_k, score_rank,
-    trained_scores, analysis, reasons)}
+    trained_scores, analysis, reasons, printed_report)}
 
 _RES = f"(SELECT id, code, source, lang, {I.PROBABILITY} AS p FROM ({I.DOCUMENTS}) d)"
 

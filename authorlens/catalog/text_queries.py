@@ -310,6 +310,12 @@ def feature_report(spark, sf):
     return r.groupBy("category", "name", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def style_report(spark, sf):
+    """The printed report of every text; names without an SQL twin are left out of the row, so they show as missing."""
+    d = _lined(spark, sf).drop("num_block_comments", "num_docstrings")
+    return scoring.labelled_report(d)
+
+
 _LINE_SQL = (
     f"SELECT id, code, greatest(count(line), 1) AS total_lines, count(line) AS n_lines, "
     f"count(*) FILTER (WHERE line IS NOT NULL AND regexp_matches(line, '[^{WS}]')) AS filled, "
@@ -406,7 +412,7 @@ QUERIES = {f.__name__: f for f in (
     comment_stats, block_doc_counts, whitespace_stats, operator_spacing, token_entropy, char_entropy, token_frequencies,
     bigram_perplexity, stored_perplexity, perplexity_readings, naming_stats, identifier_counts, code_structure, feature_table,
     submission_gate, short_text_gate, result_search, annotations_capped, annotation_counts, annotated_source, annotated_code,
-    explanations_long, severity_counts, severity_by_feature, feature_report)}
+    explanations_long, severity_counts, severity_by_feature, feature_report, style_report)}
 
 _BLOCK_COUNTS = " UNION ALL ".join(
     f"SELECT id, '{n}' AS language, {b} AS num_block_comments, {d} AS num_docstrings FROM ({I.TEXTS}) t"
@@ -424,7 +430,24 @@ _SETTINGS = {"python": (0, "#", None, None, 1), "javascript": (1, "//", "/*", "*
 _SETTINGS_SQL = ", ".join("('" + n + "', " + ", ".join("NULL" if v is None else (str(v) if isinstance(v, int) else f"'{v}'") for v in s) + ")"
                           for n, s in _SETTINGS.items())
 
+_REPORTED = {
+    "num_comment_lines": "comments::VARCHAR", "comment_ratio": "comments / total_lines", "avg_comment_length_words": "coalesce(comment_words / nullif(comments, 0), 0)",
+    "comment_to_code_ratio": "comment_chars / greatest(length(code), 1)", "total_lines": "total_lines::VARCHAR", "empty_line_ratio": "(total_lines - filled) / total_lines",
+    "avg_line_length": "coalesce(chars / nullif(filled, 0), 0)", "max_line_length": "max_line_length::VARCHAR",
+    "uses_tabs": "(tabbed > n_lines * 0.1::DOUBLE)::INT::VARCHAR", "trailing_whitespace_ratio": "trail_n / total_lines",
+    "operator_spacing_consistency": f"coalesce(greatest({_SPACED}, {_TIGHT}) / nullif({_SPACED} + {_TIGHT}, 0)::DOUBLE, 0)",
+}
+
+
+def _report_sql() -> str:
+    names = [(section, name, label) for section, labels in scoring.REPORT.items() for name, label in labels.items()]
+    shown = [v if v.endswith("VARCHAR") else f"format('{{:.4f}}', round_even(({v})::DOUBLE, 4))" for v in (_REPORTED.get(name, "'N/A'::VARCHAR") for _, name, _ in names)]
+    listed = ", ".join(f"{{'place': {i}::BIGINT, 'section': '{section}', 'label': '{label}', 'shown': {value}}}" for i, ((section, _, label), value) in enumerate(zip(names, shown), 1))
+    return f"SELECT id, r.place, r.section, r.label, r.shown FROM (SELECT id, unnest([{listed}]) AS r FROM ({_LINE_SQL}) k) q"
+
+
 ORACLE = {
+    "style_report": _report_sql(),
     "lang_scores": _LANG_SCORES,
     "lang_best": f"SELECT id, {_BEST} AS detected_language FROM ({_LANG_SCORES}) s",
     "lang_by_extension": f"SELECT doc_id AS id, {_EXT_SQL} AS by_extension, regexp_replace(g, '\\.[^.]+\\z', '') AS file_id, "

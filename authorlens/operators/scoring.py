@@ -136,6 +136,56 @@ def feature_report(df: DataFrame, available: list[str] | None = None) -> DataFra
                       severity_detail(F.col("name"), F.col("value")).alias("severity"))
 
 
+# Sections of the printed report and the label of each name in it, in its order.
+REPORT = {
+    "STILSKA DETEKCIJA — komentari, imenovanje, formatiranje": {
+        "num_comment_lines": "Broj linija s komentarom", "comment_ratio": "Udio komentara (%)", "avg_comment_length_words": "Prosj. duljina komentara (rij.)",
+        "comment_to_code_ratio": "Udio komentara u znakovima", "num_block_comments": "Broj blok komentara", "num_docstrings": "Broj docstringova / JSDoc",
+        "avg_identifier_length": "Prosj. duljina identifikatora", "avg_function_name_length": "Prosj. duljina naziva funkcija",
+        "single_char_name_ratio": "Udio jednoslovnih naziva", "lexical_diversity": "Leksička raznolikost naziva", "snake_case_ratio": "Udio snake_case stila",
+        "camel_case_ratio": "Udio camelCase stila", "naming_consistency": "Konzistentnost imenovanja", "total_lines": "Ukupno linija",
+        "empty_line_ratio": "Udio praznih linija", "avg_line_length": "Prosj. duljina linije (znakovi)", "max_line_length": "Max duljina linije",
+        "uses_tabs": "Koristi tabove (1=da, 0=ne)", "trailing_whitespace_ratio": "Udio linija s trailing space",
+        "operator_spacing_consistency": "Konzistentnost razmaka operatori"},
+    "STRUKTURNA DETEKCIJA — AST, složenost, tok kontrole": {
+        "ast_depth": "Dubina AST stabla", "ast_node_count": "Broj čvorova u AST stablu", "unique_node_type_ratio": "Raznolikost tipova čvorova",
+        "num_functions": "Broj funkcija / metoda", "avg_function_length": "Prosj. duljina funkcije (linije)", "max_function_length": "Max duljina funkcije (linije)",
+        "avg_args_per_function": "Prosj. broj argumenata", "num_classes": "Broj klasa", "num_imports": "Broj importa", "num_if_statements": "Broj if naredbi",
+        "num_for_loops": "Broj for petlji", "num_while_loops": "Broj while petlji", "num_try_blocks": "Broj try/catch blokova", "num_lambdas": "Broj lambda izraza",
+        "max_nesting_depth": "Max dubina ugniježđenosti", "avg_nesting_depth": "Prosj. dubina ugniježđenosti",
+        "cyclomatic_complexity_approx": "Aproks. ciklomatska složenost"},
+    "STATISTIČKA DETEKCIJA — perplexity": {"perplexity": "Perplexity"},
+}
+NO_PERPLEXITY = "Model nije učitan — perplexity nije izračunat."
+READING = "Tumačenje"
+
+
+def labelled_report(df: DataFrame) -> DataFrame:
+    """``(id, place, section, label, shown)``: the printed report as rows, one per line of it; a narrow step.
+
+    Fractions have four digits, whole numbers none, names that the row does not have are ``N/A``.
+    Without a model one line says so in place of perplexity and its reading.
+    """
+    entries = []
+    for section, labels in REPORT.items():
+        for name, label in labels.items():
+            if name not in df.columns:
+                shown = F.lit("N/A")
+            elif name in schemas.INTEGER_FEATURES:
+                shown = F.coalesce(F.col(name).cast("bigint").cast("string"), F.lit("N/A"))
+            else:
+                shown = F.coalesce(F.format_string("%.4f", F.bround(F.col(name).cast("double"), 4)), F.lit("N/A"))
+            entries.append((section, F.lit(label), shown))
+    if "perplexity" in df.columns:
+        there = F.coalesce(F.col("model_available"), F.lit(0)) != 0
+        section, label, shown = entries.pop()
+        entries.append((section, F.when(there, label).otherwise(F.lit(NO_PERPLEXITY)), F.when(there, shown)))
+        entries.append((section, F.when(there, F.lit(READING)), perplexity_reading(F.col("perplexity"))))
+    rows = F.array(*[F.when(label.isNotNull(), F.struct(F.lit(i).cast("bigint").alias("place"), F.lit(section).alias("section"), label.alias("label"), shown.alias("shown")))
+                     for i, (section, label, shown) in enumerate(entries, 1)])
+    return unnest(df.select("id", F.array_compact(rows).alias("_a")), ["id"], "_a").select("id", "_e.*")
+
+
 def feature_groups(df: DataFrame) -> DataFrame:
     """Number and sorted names of the report features per submission and category, inside the row."""
     parts = []

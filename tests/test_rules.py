@@ -105,3 +105,19 @@ def test_annotation_cap(spark):
 def test_fallbacks_for_unknown_language(spark):
     df = spark.createDataFrame([("a", "# one two three four five", "cobol")], "id string, code string, language string")
     assert [r.tone for r in annotations.annotations(df).collect()] == ["amber"]
+
+
+def test_labelled_report(spark):
+    from authorlens import schemas
+    from authorlens.operators import scoring
+    values = {c: 7 if c in schemas.INTEGER_FEATURES else 0.98766 for c in schemas.FEATURES} | {"perplexity": 12.5, "model_available": 1}
+    df = spark.createDataFrame([("a", *values.values()), ("b", *(values | {"perplexity": -1.0, "model_available": 0}).values())],
+                               "id string, " + ", ".join(f"{c} {'long' if c in schemas.INTEGER_FEATURES else 'double'}" for c in values))
+    rows = {}
+    for r in scoring.labelled_report(df).orderBy("id", "place").collect():
+        rows.setdefault(r.id, []).append((r.section.split(" ")[0], r.label, r.shown))
+    assert rows["a"][0] == ("STILSKA", "Broj linija s komentarom", "7") and rows["a"][1] == ("STILSKA", "Udio komentara (%)", "0.9877")
+    assert rows["a"][21] == ("STRUKTURNA", "Broj čvorova u AST stablu", "N/A")
+    assert rows["a"][-2:] == [("STATISTIČKA", "Perplexity", "12.5000"), ("STATISTIČKA", "Tumačenje", "nizak → moguće AI")]
+    assert rows["b"][-1] == ("STATISTIČKA", scoring.NO_PERPLEXITY, None) and len(rows["a"]) == 39 and len(rows["b"]) == 38
+    assert len(scoring.labelled_report(df.select("id", "comment_ratio")).collect()) == 2 * 38
