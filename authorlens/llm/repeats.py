@@ -46,8 +46,8 @@ LAST = (1 << 63) - 1  # stands for a null id, behind all others
 
 @dataclass(frozen=True)
 class Sizes:
-    group: int = 500_000  # suffixes of a group, and anchors or covered windows that one task sorts
-    chunk: int = 500_000  # words, anchors or suffixes that a task looks at together
+    group: int = 300_000  # suffixes of a group, and anchors or covered windows that one task sorts
+    chunk: int = 250_000  # words, anchors or suffixes that a task looks at together
 
 
 # ------------------------------------------------------------------ words of texts
@@ -336,7 +336,8 @@ def _chunks(batches, width: int, chunk: int) -> Iterator[tuple[Suffixes, Suffixe
         row = np.repeat(np.arange(len(counts)), counts)
         inside = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(packed["starts"], size)
         whole = np.flatnonzero(segment[:max(0, len(codes) - width + 1)] == segment[width - 1:])
-        letters = np.lib.stride_tricks.sliding_window_view((codes >> np.uint64(7)) % np.uint64(255) + np.uint64(1), width)[whole].astype(np.uint8)
+        letter = ((codes >> np.uint64(7)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        letters = np.lib.stride_tricks.sliding_window_view(letter, width)[whole]
         ids = np.array([LAST if i is None else i for i in other["doc_id"]], np.int64)
         yield Suffixes(width, letters=letters, tails=run_hashes(codes, width)[whole], ids=ids[row[whole]],
                        reps=np.array(other["rep"], np.int64)[row[whole]], starts=inside[whole].astype(np.int32)).split()
