@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F, types as T
 
 from authorlens import schemas
@@ -11,8 +13,9 @@ from authorlens.operators import corpus, evaluation, ranking, scoring, training
 from authorlens.operators.features import extract_features
 from authorlens.operators.perplexity import ROW, attach_perplexity, row_perplexity
 from authorlens.plans.analysis import analyze
-from authorlens.session import cut_lineage
-from authorlens.sources.sinks import export_rows, result_lines
+from authorlens.session import checkpoint_dir, cut_lineage
+from authorlens.sources.readers import read_results, result_totals
+from authorlens.sources.sinks import export_rows, result_lines, write_result_lines
 
 ROUND = 6
 SMALL_FOREST = training.ForestSettings(trees=8, depth=6)  # the default has 300 trees of depth 30
@@ -78,6 +81,15 @@ def result_messages(spark, sf):
     return back.select("m.type", "m.data.id", F.round("m.data.ai_probability", ROUND).alias("ai_probability"), "m.data.source")
 
 
+def result_stream_totals(spark, sf):
+    """Result lines and their summary line written as files and read back, as a screen does when a stream has ended."""
+    path = f"{checkpoint_dir(spark)}/lines-{uuid4()}"
+    write_result_lines(_results(spark, sf).select("id", "ai_probability", "source"), path)
+    totals = result_totals(read_results(spark, path))
+    said = lambda name, kind: F.get_json_object("summary", f"$.{name}").cast(kind).alias(name)
+    return totals.select("results", *[said(n, "bigint") for n in ("total", "high_risk", "medium_risk", "low_risk")], said("avg_ai_probability", "double"))
+
+
 def top_features(spark, sf):
     """Five heaviest features with their values; the weights are a fixed function of the name."""
     from authorlens.catalog.text_queries import _judged
@@ -291,7 +303,7 @@ def trained_scores(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     verdicts, risk_summary, risk_summary_by_source, display_labels, sorted_results, results_with_source, export_table,
-    result_messages, top_features, corpus_union, corpus_capped, label_normalise, source_counts, class_stats, class_counts,
+    result_messages, result_stream_totals, top_features, corpus_union, corpus_capped, label_normalise, source_counts, class_stats, class_counts,
     undersample, stratified_split, held_out, folds, class_weights, standardise, confusion, confusion_by_source,
     class_report, auc_roc, auc_by_source, average_precision, average_precision_by_source, pr_curve, threshold_search, precision_recall_at_k, score_rank,
     trained_scores, analysis, reasons, printed_report)}
@@ -320,6 +332,7 @@ def _top_sql() -> str:
 
 ORACLE = {
     "verdicts": f"SELECT id, round(p, 4) AS ai_probability, {_verdict('0.65::DOUBLE')} AS verdict, {_verdict('0.8::DOUBLE')} AS verdict_at_80 FROM {_RES} r",
+    "result_stream_totals": f"SELECT (SELECT count(*) FROM documents) AS results, {_SUMMARY} FROM {_RES} r",
     "risk_summary": f"SELECT {_SUMMARY} FROM {_RES} r",
     "risk_summary_by_source": f"SELECT source, {_SUMMARY} FROM {_RES} r GROUP BY source",
     "display_labels": f"SELECT id, {_PCT} AS percent, CASE WHEN {_PCT} >= 70 THEN 'LIKELY AI' WHEN {_PCT} >= 40 THEN 'POSSIBLY AI' ELSE 'LIKELY HUMAN' END AS label, "
