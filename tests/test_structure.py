@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from authorlens.functions import structure
 from authorlens.operators import features, tree
 from tests.snippets import JAVA, PYTHON, ROLES, TYPESCRIPT
 
@@ -65,3 +66,17 @@ def test_long_lines_do_not_overflow(spark):
     code = 'x = "' + "a\\n" * 50_000 + '"\n' + "f(" * 200 + ")" * 200
     df = spark.createDataFrame([("a", code, "python"), ("b", code, "java")], "id string, code string, language string")
     assert features.extract_features(df).filter("ast_depth > 100").count() == 2
+
+
+@pytest.mark.parametrize("code, names, functions", [
+    ("— “a” … b", ["a", "b"], []),                      # signs beyond ASCII are no names
+    ("x = f'half open\ny = rb\"z", ["x", "y"], []),     # nor is a prefixed string that never closes
+    ("def\tone(a):\nasync\tdef two():", ["one", "a", "two"], ["one", "two"]),
+    ("def\ndef (a)\n", ["a"], []),                      # a head without a name names nothing
+    ("a # it's 'x'", ["a"], []),
+])
+def test_names_of_odd_texts(spark, code, names, functions):
+    df = features.with_shape(spark.createDataFrame([("1", code, "python")], "id string, code string, detected_language string"))
+    r = df.select("_names", structure.function_names(F.col("_blocks")).alias("f"), "_kinds").first()
+    assert (r._names, r.f) == (names, functions)
+    assert "#" not in code or r._kinds[-1] == "comment"
