@@ -38,6 +38,6 @@ def test_a_border_is_looked_for_behind_its_word(spark):
 
 def test_values_of_top_features_are_made_once(spark):
     df = spark.createDataFrame([("1", "a b")], "id string, code string")
-    df = df.select("id", *[F.length("code").cast("double").alias(c) for c in schemas.FEATURES])
-    weights = spark.createDataFrame([(c, 0.1) for c in schemas.MODEL_FEATURES], "name string, importance double")
+    df = df.select("id", *[F.length("code").cast("double").alias(c) for c in schemas.MODEL_FEATURES[:3]])
+    weights = spark.createDataFrame([(c, 0.1) for c in schemas.MODEL_FEATURES[:3]], "name string, importance double")
     assert not re.search(r"round\((?:try_)?element_at\(map\(", plan_of(scoring.top_features(df, weights)))
