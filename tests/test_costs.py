@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from authorlens import schemas
 from authorlens.catalog.code_texts import TEMPLATES, code_of
 from authorlens.functions import text
-from authorlens.operators import scoring
+from authorlens.operators import perplexity, scoring
 
 
 def plan_of(df):
@@ -41,3 +41,21 @@ def test_values_of_top_features_are_made_once(spark):
     df = df.select("id", *[F.length("code").cast("double").alias(c) for c in schemas.MODEL_FEATURES[:3]])
     weights = spark.createDataFrame([(c, 0.1) for c in schemas.MODEL_FEATURES[:3]], "name string, importance double")
     assert not re.search(r"round\((?:try_)?element_at\(map\(", plan_of(scoring.top_features(df, weights)))
+
+
+def test_pairs_are_kept_as_columns_and_not_as_objects(spark):
+    docs = spark.range(20).select("id", F.concat(F.lit("a b c "), "id", F.lit(" a b")).alias("code"))
+    plan = perplexity.bigram_perplexity(docs)._jdf.queryExecution().executedPlan().toString()
+    model = perplexity.bigram_model(docs)
+    assert "ExistingRDD" not in plan
+    assert all("ExistingRDD" not in t._jdf.queryExecution().executedPlan().toString() for t in (model.pairs, model.firsts))
+
+
+def test_tokens_ask_for_unicode_only_behind_plain_letters(spark):
+    plain = rf"[a-zA-Z_][{text.WORD}]*+|[0-9]++|[^{text.WORD}{text.WS}]"
+    assert text.TOKEN != plain
+    odd = ["_a1é²_b $x 12ab é áb  x\x1c\x7f\x00 ٣a a٣ \U0001d400b b\U0001d400 😀! ~`^[]{}\\|\"'#%&@:;<=>?/.-,+*()", "", "a" * 50,
+           "".join(map(chr, range(0x300))), "x".join(map(chr, range(0x2000, 0x2070)))]
+    df = spark.createDataFrame([(c,) for c in odd], "c string")
+    for r in df.select(text.tokens_of(F.col("c")).alias("new"), F.regexp_extract_all("c", F.lit(plain), F.lit(0)).alias("old")).collect():
+        assert r.new == r.old
