@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from authorlens import schemas
 from authorlens.catalog.code_texts import TEMPLATES, code_of
 from authorlens.functions import text
-from authorlens.operators import perplexity, scoring
+from authorlens.operators import features, perplexity, scoring
 
 
 def plan_of(df):
@@ -59,3 +59,21 @@ def test_tokens_ask_for_unicode_only_behind_plain_letters(spark):
     df = spark.createDataFrame([(c,) for c in odd], "c string")
     for r in df.select(text.tokens_of(F.col("c")).alias("new"), F.regexp_extract_all("c", F.lit(plain), F.lit(0)).alias("old")).collect():
         assert r.new == r.old
+
+
+def test_lines_are_cut_by_one_class_and_no_copy_of_the_text(spark):
+    odd = ["", "\n", "\r\n", "\r", "a", "a\n", "a\n\n", "a\r\n\r\n", "a\r\r\nb", "\n\r", "a\n\r\nb\r", "x\x0by\x0cz\x1c\x1d\x1ew\x85v u ", "é\r\n😀\n", " \n "]
+    df = spark.createDataFrame([(c,) for c in odd], "c string")
+    lines = df.select("c", text.lines_of(F.col("c")).alias("l"))
+    assert "substring" not in plan_of(lines) and "|" not in text.LINE_END
+    assert {r.c: r.l for r in lines.collect()} == {c: c.splitlines() for c in odd}
+
+
+def test_characters_are_counted_without_sorting_the_text(spark):
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 300))) * 2
+    odd = ["", "a", "aaa", "abca é😀é\n\t\x00", "the quick brown fox " * 9, many, many[:255], many[:256], many[:257]]
+    df = spark.createDataFrame([(c,) for c in odd], "c string")
+    for r in df.select(text.char_entropy(F.col("c")).alias("new"), text.entropy_of(text.chars_of(F.col("c"))).alias("old")).collect():
+        assert r.new == r.old
+    rows = features.extract_features(spark.createDataFrame([("a", "x")], "id string, code string")).select("char_entropy")
+    assert "replace(" in plan_of(rows)
