@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from authorlens.functions import annotate
-from authorlens.functions.text import lines_of, nonblank_lines, unnest
+from authorlens.functions.text import how_many, is_blank, lines_of, unnest
 from authorlens.operators.features import with_language
 
 
@@ -16,7 +16,7 @@ def with_annotations(df: DataFrame, cap: bool = True) -> DataFrame:
     out = out.withColumn("line_annotations", annotate.all_annotations(F.col("_al"), F.col("detected_language")))
     if cap:
         out = out.withColumn("line_annotations", annotate.capped(
-            F.col("line_annotations"), nonblank_lines(F.col("code"))))
+            F.col("line_annotations"), how_many(F.col("_al"), lambda l: ~is_blank(l))))
     return out.drop("_al")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from authorlens import schemas
 from authorlens.catalog.code_texts import TEMPLATES, code_of
-from authorlens.functions import text
-from authorlens.operators import features, perplexity, scoring
+from authorlens.functions import annotate, style, text
+from authorlens.operators import annotations, features, perplexity, scoring
 
 
 def plan_of(df):
@@ -77,3 +77,46 @@ def test_characters_are_counted_without_sorting_the_text(spark):
         assert r.new == r.old
     rows = features.extract_features(spark.createDataFrame([("a", "x")], "id string, code string")).select("char_entropy")
     assert "replace(" in plan_of(rows)
+
+
+ODD_LINES = ["", " ", "\u3000\x1f\xa0", "# a", "\u2003# b c d e", " \x85// x", "#", "//", "/ /", "a # b", "x\u3000", "x\t", "\u200bx", "é ", "raise ValueError(", "\u3000raise ValueError (x",
+             "except (", "\texcept é", "exceptx", "x except (", "throw new Error(", "catch (e", "a: int", "a:\u2003str", "a: intx", ")->\xa0x", ") -> ", ": List", "x : tuple\u3000",
+             'alpha "beta\' gamma" delta\'omega', "`alpha` 'bravo charlie", 'say "hello there" charlie delta', "'a \"b' gammas \"delta' epsilon", "éalpha alphaé alpha1 1alpha _alpha alpha_",
+             "alphabet\u3000betamax", "\U0001d400alpha alpha\U0001d400 bravo", "return Return RETURN returns alpha", "measured_values of plain_names", "abcd abcde"]
+
+
+def test_a_border_stands_behind_no_half_of_a_letter(spark):
+    codes = ["\U0001d400self", "\U0001f600self", "x \U0001d400self self", "self\U0001d400"]
+    got = spark.createDataFrame([(c,) for c in codes], "c string").select(F.rlike("c", F.lit(text.regex(r"\bself\b"))).alias("r")).collect()
+    assert [r.r for r in got] == [bool(re.search(r"\bself\b", c)) for c in codes]
+
+
+def test_the_beginning_of_a_line_is_read_without_a_pattern(spark):
+    df = spark.createDataFrame([(l,) for l in ODD_LINES], "l string")
+    line = F.col("l")
+    made = df.select("l", text.is_blank(line).alias("blank"), style.is_comment(line, F.lit("python")).alias("hash"),
+                     style.is_comment(line, F.lit("java")).alias("slash"), text.ends_in_space(line).alias("tail"))
+    assert not re.search("rlike|substring|right\\(", plan_of(made).lower())
+    for r in made.collect():
+        assert (r.blank, r.hash, r.slash, r.tail) == (not r.l.strip(), r.l.lstrip().startswith("#"), r.l.lstrip().startswith("//"), r.l[-1:].isspace())
+
+
+def test_a_line_is_marked_without_copies_and_as_before(spark):
+    one_text = spark.createDataFrame([("a", "\n".join(ODD_LINES), "python")], "id string, code string, detected_language string")
+    marked = annotations.with_annotations(one_text)
+    # lines are cut once, in one of two ways
+    assert plan_of(marked).count("split(") == 2 and not annotate._LONG_NAME.startswith("(?<!")
+    df = spark.createDataFrame([(l,) for l in ODD_LINES], "l string").select("l", annotate.long_names(F.col("l")).alias("n"))
+    assert "trim(" not in plan_of(df)
+    for r in df.collect():
+        bare = r.l.strip()
+        for pattern, empty in ((r'"[^"]*"', '""'), (r"'[^']*'", "''"), (r"`[^`]*`", "``")):
+            bare = re.sub(pattern, empty, bare)
+        assert r.n == [n for n in re.findall(r"(?<!\w)[a-zA-Z_][a-zA-Z0-9_]{4,}(?![a-zA-Z0-9_])(?!\w)", bare) if n.lower() not in annotate.RESERVED]
+    notes = {r.line: r.note for r in annotations.annotations(one_text, cap=False).collect()}
+    for i, l in enumerate("\n".join(ODD_LINES).splitlines(), 1):
+        names = [n for n in re.findall(r"(?<!\w)[a-zA-Z_][a-zA-Z0-9_]{4,}(?!\w)", re.sub("\"[^\"]*\"|'[^']*'|`[^`]*`", "", l)) if n.lower() not in annotate.RESERVED]
+        if l.strip() and not l.lstrip().startswith("#") and not names:
+            hint = re.search(r"\)\s*->\s*\w|:\s*(?:int|float|str|bool|list|dict|tuple|set|Optional|Union|List|Dict)\b", l.strip())
+            raises, handles = re.match(r"\s*(?:raise|throw)\s+\w*(?:Error|Exception)\s*\(", l), re.match(r"\s*(?:except|catch)\s*[(\w]", l)
+            assert notes.get(i) == (annotate.TYPE_HINT if hint else annotate.RAISES if raises else annotate.HANDLES if handles else None), l
