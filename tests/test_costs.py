@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from authorlens import schemas
 from authorlens.catalog.code_texts import TEMPLATES, code_of
-from authorlens.functions import annotate, style, text
+from authorlens.functions import annotate, language, style, text
 from authorlens.operators import annotations, features, perplexity, scoring
 
 
@@ -91,6 +91,16 @@ def test_a_border_stands_behind_no_half_of_a_letter(spark):
     assert [r.r for r in got] == [bool(re.search(r"\bself\b", c)) for c in codes]
 
 
+def test_rules_that_end_in_a_sign_look_for_it_first(spark):
+    ends = [(literals[0], sign) for _, _, literals, patterns in language.CONTENT_RULES for p in patterns for sign in "(<=" if p.endswith(sign)]
+    assert len(ends) == 11 and all(first == sign for first, sign in ends)
+    codes = ["def f (x", "def f x", "const a\u3000=1", "const a", "template\n<", "vector x", "printf (", "printf", "fn a(", "println!("]
+    df = spark.createDataFrame([(c,) for c in codes], "t string").select("t", *[v.alias(n) for n, v in language.content_scores(F.col("t")).items()])
+    for r in df.collect():
+        assert [r[n] for n in language.NAMES] == [sum(w for langs, w, literals, patterns in language.CONTENT_RULES if n in langs and all(l in r.t for l in literals)
+                                                  and all(re.search(p.replace(r"\z", r"\Z"), r.t) for p in patterns)) for n in language.NAMES]
+
+
 def test_the_beginning_of_a_line_is_read_without_a_pattern(spark):
     df = spark.createDataFrame([(l,) for l in ODD_LINES], "l string")
     line = F.col("l")
